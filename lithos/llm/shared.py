@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -23,3 +24,43 @@ def settled(df: DataFrame) -> DataFrame:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(at)
     return df.checkpoint(eager=True)
+
+
+def spread(rows: DataFrame, keys: list[str], id_col: str, salts: int) -> tuple[DataFrame, DataFrame]:
+    """Groups of equal keys, found without sending a hot group to one task.
+
+    Returns rows with a ``salt``, and one settled row per group: keys, ``least`` (smallest
+    id), ``size`` and ``salts``.  ``rejoin`` brings columns of the groups back to the rows.
+    """
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64(id_col), F.lit(salts)))
+    merged = rows.groupBy(*keys, "salt").agg(F.min(id_col).alias("least"), F.count(F.lit(1)).alias("size"))
+    groups = merged.groupBy(*keys).agg(F.min("least").alias("least"), F.sum("size").alias("size"), F.collect_list("salt").alias("salts"))
+    return rows, settled(groups)
+
+
+def rejoin(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
+    """rows joined to their groups by keys and salt, so a hot group is dealt over its salts."""
+    return rows.join(groups.withColumn("salt", F.explode("salts")).drop("salts"), [*keys, "salt"])
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component) of the nodes of undirected edges (a, b); a component is its smallest node.
+
+    Alternates large-star and small-star steps, whose edge count never exceeds the input's,
+    until the edges no longer change; each round is settled.
+    """
+    e = settled(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
+    state = None
+    while True:
+        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if tuple(now) == state or now[0] == 0:
+            return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
+                e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+            )
+        state = tuple(now)
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(least.select("u", F.col("m").alias("v")))
+        e = settled(small.distinct())
