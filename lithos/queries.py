@@ -1,4 +1,8 @@
-"""Registered queries of the catalogue engine and their DuckDB equivalents."""
+"""Registered queries of the catalogue engine and their DuckDB equivalents.
+
+The driver tables hold no assets, so each query applies an operator to tables of the same
+shape: documents stand for contents, parts for variants of a family, and so on.
+"""
 
 from __future__ import annotations
 
@@ -7,12 +11,397 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lithos.functions import intervals as iv
+from lithos.functions import names as fn
+from lithos.operators import dedup, placement, records, search, selection
+from lithos.plans import catalog
+from lithos.streaming import incremental
 from lithos.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n_docs"))
+def query(sql: str | None = None):
+    """Registers a query under its function's name, with its SQL where there is one."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents as assets: fingerprint of the text, id as path."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
+    return dedup.fingerprint(docs, "text")
+
+
+def _variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """part as variants: brand and type name the family, a third of them is in the catalog."""
+    p = table(spark, sf_dir, "part")
+    return p.select(
+        "p_brand", "p_type", (F.col("p_partkey") % 3 == 0).alias("is_existing"), (F.col("p_size") % 5 + 1).cast("int").alias("prio"),
+        (F.floor(F.col("p_retailprice") / 100) / 4).alias("version"), F.floor("p_retailprice").cast("int").alias("glyphs"), F.length("p_name").alias("coverage_n"),
+        (F.col("p_partkey") % 9).cast("int").alias("metadata"), (F.col("p_partkey") % 7 == 0).alias("is_variable"), (F.col("p_partkey") % 1000).alias("crc32"),
+        F.lpad(F.col("p_partkey").cast("string"), 10, "0").alias("path"),
+    )
+
+
+_VARIANTS = """v AS (SELECT p_brand, p_type, p_partkey % 3 = 0 AS is_existing, p_size % 5 + 1 AS prio, floor(p_retailprice / 100) / 4 AS version,
+    CAST(floor(p_retailprice) AS INT) AS glyphs, length(p_name) AS coverage_n, p_partkey % 9 AS metadata, p_partkey % 7 = 0 AS is_variable,
+    p_partkey % 1000 AS crc32, lpad(CAST(p_partkey AS VARCHAR), 10, '0') AS path FROM part)"""
+_BEST_FIRST = "prio DESC, version DESC, glyphs DESC, coverage_n DESC, metadata DESC, crc32, path"
+#: The selection rule stated by windows, independent of the aggregates in the operator.
+_SELECTED = f"""{_VARIANTS},
+    r AS (SELECT *, row_number() OVER (PARTITION BY p_brand, p_type, is_existing ORDER BY {_BEST_FIRST}) AS rk FROM v),
+    k AS (SELECT p_brand, p_type, prio AS kp, version AS kv, glyphs AS kg, coverage_n AS kc, metadata AS km, crc32 AS kx, path AS kpath FROM r WHERE is_existing AND rk = 1),
+    c AS (SELECT p_brand, p_type, prio AS cp, version AS cv, glyphs AS cg, coverage_n AS cc, metadata AS cm, crc32 AS cx, path AS cpath, is_variable AS cvar FROM r WHERE NOT is_existing AND rk = 1),
+    g AS (SELECT p_brand, p_type, bool_or(is_existing AND is_variable) AS old_var FROM v GROUP BY ALL),
+    j AS (SELECT r.*, k.*  EXCLUDE (p_brand, p_type), c.* EXCLUDE (p_brand, p_type), old_var,
+            cpath IS NOT NULL AND (kpath IS NULL OR (cp, cv, cg, cc, cm, -cx) > (kp, kv, kg, kc, km, -kx)) AS top_new
+          FROM r JOIN g USING (p_brand, p_type) LEFT JOIN k USING (p_brand, p_type) LEFT JOIN c USING (p_brand, p_type)),
+    b AS (SELECT *, CASE WHEN top_new THEN cp ELSE kp END AS bp, CASE WHEN top_new THEN cv ELSE kv END AS bv, CASE WHEN top_new THEN cg ELSE kg END AS bg,
+            CASE WHEN top_new THEN cc ELSE kc END AS bc, CASE WHEN top_new THEN cm ELSE km END AS bm, CASE WHEN top_new THEN cpath ELSE kpath END AS winner FROM j),
+    w AS (SELECT *, coalesce(bool_or(is_variable AND prio < bp) OVER (PARTITION BY p_brand, p_type, is_existing ORDER BY rk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS earlier_var FROM b),
+    s AS (SELECT p_brand, p_type, path, is_existing, winner, is_existing OR (top_new AND rk = 1)
+            OR (prio < bp AND (version > bv OR glyphs > bg OR coverage_n > bc OR metadata > bm
+                OR (is_variable AND NOT old_var AND NOT (top_new AND cvar) AND NOT earlier_var))) AS kept FROM w)"""
+
+
+@query("SELECT min(doc_id) AS representative, count(*) AS copies, array_to_string(list_sort(list(doc_id)), ',') AS paths FROM documents GROUP BY text")
+def exact_dedup(spark, sf_dir):
+    groups = dedup.exact_groups(_contents(spark, sf_dir), ["file_size", "crc32", "sha256"], "doc_id")
+    return groups.select("representative", "copies", F.array_join(F.col("paths").cast("array<string>"), ",").alias("paths"))
+
+
+@query("SELECT n.doc_id, min(e.doc_id) AS matched FROM documents n JOIN documents e ON n.text = e.text WHERE n.doc_id % 2 = 1 AND e.doc_id % 2 = 0 GROUP BY n.doc_id")
+def match_existing(spark, sf_dir):
+    c = _contents(spark, sf_dir)
+    return dedup.match_existing(c.filter("doc_id % 2 = 1"), c.filter("doc_id % 2 = 0"), ["file_size", "crc32", "sha256"], "doc_id").select("doc_id", "matched")
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id % 2 = 1 AND text NOT IN (SELECT text FROM documents WHERE doc_id % 2 = 0)")
+def unmatched_new(spark, sf_dir):
+    c = _contents(spark, sf_dir)
+    return dedup.unmatched(c.filter("doc_id % 2 = 1"), c.filter("doc_id % 2 = 0"), ["file_size", "crc32", "sha256"]).select("doc_id")
+
+
+@query("SELECT c_name AS path FROM customer WHERE upper(c_name) NOT IN (SELECT upper(c_name) FROM customer WHERE c_nationkey < 10)")
+def resume_anti(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    done = c.filter("c_nationkey < 10").select(F.lower("c_name").alias("path"))
+    return dedup.not_yet_done(c.select(F.col("c_name").alias("path")), done, "path")
+
+
+@query(f"WITH {_VARIANTS} SELECT * EXCLUDE (rk) FROM (SELECT p_brand, p_type, path, prio, version, glyphs, coverage_n, metadata, count(*) OVER (PARTITION BY p_brand, p_type) AS variants, row_number() OVER (PARTITION BY p_brand, p_type ORDER BY {_BEST_FIRST}) AS rk FROM v) WHERE rk = 1")
+def best_version(spark, sf_dir):
+    return selection.best_version(_variants(spark, sf_dir), ["p_brand", "p_type"])
+
+
+@query(f"WITH {_SELECTED} SELECT p_brand, p_type, path, is_existing, winner, kept FROM s")
+def best_version_additive(spark, sf_dir):
+    return selection.additive_selection(_variants(spark, sf_dir), ["p_brand", "p_type"]).select("p_brand", "p_type", "path", "is_existing", "winner", "kept")
+
+
+@query(f"WITH {_SELECTED} SELECT p_brand, p_type, winner, array_to_string(list_sort(list(path) FILTER (NOT kept)), ',') AS merged, count(*) FILTER (NOT kept) AS losers FROM s GROUP BY p_brand, p_type, winner HAVING count(*) FILTER (NOT kept) > 0")
+def loser_paths_merge(spark, sf_dir):
+    chosen = selection.additive_selection(_variants(spark, sf_dir), ["p_brand", "p_type"])
+    merged = selection.merged_paths(chosen, ["p_brand", "p_type"]).filter("losers > 0")
+    return merged.select("p_brand", "p_type", "winner", F.array_join("merged", ",").alias("merged"), "losers")
+
+
+@query("""WITH f AS (SELECT CASE WHEN length(text) < 12 THEN 'too small' WHEN length(text) > 4000 THEN 'too large' WHEN row_number() OVER (PARTITION BY text ORDER BY doc_id) > 1 THEN 'duplicate' ELSE 'added' END AS reason FROM documents)
+    SELECT reason, count(*) AS n FROM f GROUP BY reason""")
+def rejection_accounting(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("size"), F.sha2("text", 256).alias("sha"))
+    sized = d.withColumn("reason", F.when(F.col("size") < 12, "too small").when(F.col("size") > 4000, "too large"))
+    first = d.groupBy("sha").agg(F.min("doc_id").alias("first"))
+    told = sized.join(first, "sha").withColumn("reason", F.coalesce("reason", F.when(F.col("doc_id") > F.col("first"), "duplicate"), F.lit("added")))
+    return dedup.rejections(told, "reason")
+
+
+@query("SELECT p_partkey FROM part WHERE contains(lower(concat_ws(chr(10), p_name, p_brand, p_type)), 'brand#2')")
+def search_substring(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    return p.filter(search.has_text([F.col("p_name"), F.col("p_brand"), F.col("p_type")], "  Brand#2 ")).select("p_partkey")
+
+
+@query("SELECT p_partkey FROM part WHERE p_partkey % 7 = 0 AND p_size % 3 <> 0 AND p_brand <> 'x' AND p_type LIKE '%E%' AND contains(lower(p_type), 'o')")
+def search_combined(spark, sf_dir):
+    p = table(spark, sf_dir, "part").withColumns({"is_variable": F.col("p_partkey") % 7 == 0, "install_state": F.col("p_size") % 3, "ext": F.when(F.contains("p_type", F.lit("E")), "otf").otherwise("ttf")})
+    request = search.Request(needle="O", ext="otf", variable_only=True, installed_only=True)
+    return search.matching(p, request, ["p_type"]).select("p_partkey")
+
+
+def _families_sql(order: str) -> str:
+    return f"SELECT upper(p_brand) AS family_key, min(p_brand) AS family, count(*) AS variants, max(p_size) AS max_glyphs FROM part GROUP BY 1 ORDER BY {order}"
+
+
+def _families(spark, sf_dir, sort):
+    return search.search(table(spark, sf_dir, "part"), search.Request(sort=sort), [], "p_brand", "p_size", "p_partkey")
+
+
+@query(_families_sql("1"))
+def family_by_name(spark, sf_dir):
+    return _families(spark, sf_dir, "name")
+
+
+@query(_families_sql("4 DESC, 1"))
+def family_by_max(spark, sf_dir):
+    return _families(spark, sf_dir, "glyphs")
+
+
+@query(_families_sql("3 DESC, 1"))
+def family_by_count(spark, sf_dir):
+    return _families(spark, sf_dir, "variants")
+
+
+@query("SELECT upper(p_brand) AS family_key, min(p_brand) AS family, count(*) AS variants, max(p_size) AS max_glyphs, true AS is_favourite FROM part WHERE p_brand IN (SELECT p_brand FROM part WHERE p_size = 50 AND p_partkey % 4 = 0) GROUP BY 1")
+def favourites_only(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    liked = p.filter("p_size = 50 and p_partkey % 4 = 0").select(F.lower("p_brand").alias("p_brand"))
+    return search.search(p, search.Request(favourites_only=True), [], "p_brand", "p_size", "p_partkey", liked)
+
+
+@query("SELECT count(*) FILTER (contains(lower(concat_ws(chr(10), p_name, p_type)), 'large')) AS visible, count(*) AS total FROM part")
+def visible_total(spark, sf_dir):
+    return search.visible_total(table(spark, sf_dir, "part"), search.Request(needle="Large"), ["p_name", "p_type"])
+
+
+_LICENCE = f"""CASE WHEN {" OR ".join(f"contains(lower(text), '{w}')" for w in fn.FREE_WORDING)} THEN 'Free' WHEN doc_id % 50 = 7 THEN 'Paid'
+    WHEN {" OR ".join(f"contains(lower(text), '{w}')" for w in fn.PAID_WORDING)} THEN 'Paid' ELSE 'Unknown' END"""
+
+
+@query(f"SELECT doc_id, {_LICENCE} AS licence FROM documents")
+def licence_class(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    bit = F.when(F.col("doc_id") % 50 == 7, 2).otherwise(0)
+    return d.select("doc_id", fn.licence_class(F.lit(""), F.col("text"), F.lit(""), bit).alias("licence"))
+
+
+@query(r"SELECT p_partkey, array_to_string(list_filter(list_transform(string_split(lower('  ' || p_name || ' ' || p_type), ' '), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: length(x) > 0), ' ') AS key FROM part")
+def norm_key(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", fn.normal_name(F.concat(F.lit("  "), "p_name", F.lit(" "), "p_type")).alias("key"))
+
+
+@query(r"""SELECT page_id, CASE WHEN length(x) > 0 THEN x ELSE '-' END AS component FROM (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(url, '[\x00-\x1f"<>|:*?\\/]', '-', 'g'), '[. ]+$', ''), '^\s+|\s+$', '', 'g') AS x FROM pages)""")
+def sanitize(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", fn.path_component(F.col("url")).alias("component"))
+
+
+@query("SELECT p_partkey, upper(substr(p_name, 1, 1)) || '/' || p_name || '/' || replace(p_name, '_', '-') || '_' || replace(p_type, '_', '-') || '_v' || p_size || '_g' || p_partkey || '.otf' AS target FROM part WHERE regexp_matches(p_name, '^[A-Za-z]') UNION ALL SELECT p_partkey, '#/' || p_name || '/' || replace(p_name, '_', '-') || '_' || replace(p_type, '_', '-') || '_v' || p_size || '_g' || p_partkey || '.otf' FROM part WHERE NOT regexp_matches(p_name, '^[A-Za-z]')")
+def build_path(spark, sf_dir):
+    path = fn.vault_path(F.col("p_name"), F.col("p_type"), F.col("p_size").cast("string"), F.col("p_partkey"), F.lit("otf"))
+    return table(spark, sf_dir, "part").select("p_partkey", path.alias("target"))
+
+
+@query("SELECT doc_id, CASE WHEN regexp_matches(upper(substr(strip_accents(text), 1, 1)), '^[A-Z]$') THEN upper(substr(strip_accents(text), 1, 1)) ELSE '#' END AS letter FROM documents")
+def first_letter(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", fn.sorting_letter(F.col("text")).alias("letter"))
+
+
+@query(r"SELECT page_id, coalesce(try_cast(regexp_extract(url, '[0-9]+(\.[0-9]+)?') AS DOUBLE), 0.0) AS version FROM pages")
+def version_number(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", fn.version_number(F.col("url")).alias("version"))
+
+
+@query("""WITH b AS (SELECT c_custkey, substr(c_name, 1, 16) AS base, '_c' || (c_custkey % 3) AS suffix FROM customer),
+    n AS (SELECT *, row_number() OVER (PARTITION BY upper(base) ORDER BY c_custkey) AS n FROM b),
+    m AS (SELECT *, CASE WHEN n > 1 THEN base || suffix END AS second FROM n),
+    o AS (SELECT *, row_number() OVER (PARTITION BY upper(second) ORDER BY c_custkey) AS m FROM m)
+    SELECT c_custkey, CASE WHEN n = 1 THEN base WHEN m = 1 THEN second ELSE second || '_' || m END AS target FROM o""")
+def path_collision(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.substring("c_name", 1, 16).alias("base"))
+    suffix = F.concat(F.lit("_c"), (F.col("c_custkey") % 3).cast("string"))
+    return placement.resolve_collisions(c, "base", suffix, "c_custkey").select("c_custkey", "target")
+
+
+@query("""SELECT doc_id, CAST((length(text) > 0)::INT + (length(lang) > 0)::INT + (length(source) > 0)::INT + (quality IS NOT NULL)::INT AS INT) AS score
+    FROM documents LEFT JOIN labels USING (doc_id)""")
+def metadata_score(spark, sf_dir):
+    joined = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    return joined.select("doc_id", fn.metadata_score([F.col("text"), F.col("lang"), F.col("source")], F.col("quality").isNotNull()).cast("int").alias("score"))
+
+
+@query(r"""SELECT conv_id, name FROM (SELECT conv_id, trim(text) AS name, row_number() OVER (PARTITION BY conv_id ORDER BY CASE role WHEN 'assistant' THEN 4 WHEN 'user' THEN 3 ELSE 1 END DESC, turn) AS k
+    FROM (SELECT conv_id, turn, role, regexp_replace(text, '^\s+|\s+$', '', 'g') AS text FROM conversations) WHERE length(text) > 0) WHERE k = 1""")
+def best_name_record(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    rank = F.when(F.col("role") == "assistant", 4).when(F.col("role") == "user", 3).otherwise(1)
+    return records.best_names(c, ["conv_id"], rank, "text", "turn")
+
+
+_POINTS = "p AS (SELECT DISTINCT doc_id, unnest(list_transform(string_split(text, ''), lambda x: unicode(x))) AS cp FROM documents WHERE length(text) > 0)"
+_RUNS = f"{_POINTS}, q AS (SELECT doc_id, cp, cp - row_number() OVER (PARTITION BY doc_id ORDER BY cp) AS k FROM p), i AS (SELECT doc_id, CAST(min(cp) AS INT) AS \"start\", CAST(max(cp) AS INT) AS \"end\" FROM q GROUP BY doc_id, k)"
+
+
+def _points(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    # Distinct within the row first: a text has few distinct characters, so little is exploded.
+    return d.select("doc_id", F.explode(F.array_distinct(fn.codepoints(F.col("text")))).alias("cp"))
+
+
+@query(f"WITH {_RUNS} SELECT doc_id, \"start\", \"end\" FROM i")
+def codepoint_intervals(spark, sf_dir):
+    return iv.runs(_points(spark, sf_dir), ["doc_id"], "cp").select("doc_id", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"))
+
+
+@query(f"WITH {_RUNS} SELECT doc_id, CAST(sum(\"end\" - \"start\" + 1) AS BIGINT) AS covered FROM i GROUP BY doc_id")
+def coverage_count(spark, sf_dir):
+    coverage = codepoint_intervals(spark, sf_dir).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("c"))
+    return coverage.select("doc_id", iv.covered(F.col("c")).alias("covered"))
+
+
+_BLOCKS = "bl(block_start, block_end, block) AS (VALUES " + ", ".join(f"({a}, {b}, '{n}')" for a, b, n in iv.BLOCKS) + ")"
+_COVER = f"{_RUNS}, {_BLOCKS}, d AS (SELECT DISTINCT doc_id FROM i), c AS (SELECT d.doc_id, block_start, block, block_end - block_start + 1 AS size, CAST(coalesce(sum(least(\"end\", block_end) - greatest(\"start\", block_start) + 1), 0) AS BIGINT) AS present FROM d CROSS JOIN bl LEFT JOIN i ON i.doc_id = d.doc_id AND \"start\" <= block_end AND \"end\" >= block_start GROUP BY ALL)"
+
+
+@query(f"WITH {_COVER} SELECT doc_id, block_start, block, size, present FROM c")
+def block_coverage(spark, sf_dir):
+    return iv.block_coverage(codepoint_intervals(spark, sf_dir), iv.blocks(spark), ["doc_id"])
+
+
+@query(f"WITH {_COVER} SELECT doc_id, arg_min(block, (CASE WHEN present = 0 THEN 1 ELSE 0 END) * 10000000 + block_start) AS block FROM c GROUP BY doc_id")
+def first_block(spark, sf_dir):
+    return iv.first_block(block_coverage(spark, sf_dir), ["doc_id"])
+
+
+@query("SELECT doc_id, contains(text, 'é') AS has_e_acute FROM documents WHERE length(text) > 0")
+def point_in_interval(spark, sf_dir):
+    coverage = codepoint_intervals(spark, sf_dir).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("c"))
+    return coverage.select("doc_id", iv.contains_point(F.col("c"), F.lit(0xE9)).alias("has_e_acute"))
+
+
+@query(f"""WITH {_POINTS}, r AS (SELECT doc_id, cp, row_number() OVER (PARTITION BY doc_id ORDER BY cp) - 1 AS k FROM p)
+    SELECT doc_id, CAST(k // 16 AS INT) AS row_no, array_to_string(list_resize(list(cp ORDER BY cp), 16, -1), ',') AS cells FROM r GROUP BY doc_id, k // 16""")
+def grid_rows(spark, sf_dir):
+    rows = iv.grid(_points(spark, sf_dir), ["doc_id"], "cp")
+    return rows.select("doc_id", "row_no", F.array_join(F.col("cells").cast("array<string>"), ",").alias("cells"))
+
+
+@query("""WITH s AS (SELECT user_id, CAST(floor(epoch(ts) / 60) AS BIGINT) AS a, CAST(floor(epoch(ts) / 60) AS BIGINT) + CAST(floor(value) AS BIGINT) % 240 AS b FROM events),
+    o AS (SELECT *, coalesce(CAST(a > max(b) OVER w + 1 AS INT), 1) AS n FROM s WINDOW w AS (PARTITION BY user_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    g AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS k FROM o)
+    SELECT user_id, min(a) AS "start", max(b) AS "end" FROM g GROUP BY user_id, k""")
+def interval_merge(spark, sf_dir):
+    minute = F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 60)
+    e = table(spark, sf_dir, "events").select("user_id", minute.alias("start"), (minute + F.floor("value") % 240).alias("end"))
+    return iv.merge(e, ["user_id"])
+
+
+def _states(spark, sf_dir):
+    c = _contents(spark, sf_dir)
+    own = c.filter("doc_id % 10 = 3").select("crc32")
+    system = c.filter("doc_id % 10 in (4, 5)")
+    return placement.install_states(c, own, system)
+
+
+_STATES = """st AS (SELECT doc_id, lang, CASE WHEN text IN (SELECT text FROM documents WHERE doc_id % 10 = 3) THEN 1 WHEN text IN (SELECT text FROM documents WHERE doc_id % 10 IN (4, 5)) THEN 2 ELSE 0 END AS install_state FROM documents)"""
+
+
+@query(f"WITH {_STATES} SELECT doc_id, install_state FROM st")
+def install_state(spark, sf_dir):
+    return _states(spark, sf_dir).select("doc_id", "install_state")
+
+
+@query(f"WITH {_STATES} SELECT lang, count(*) FILTER (install_state <> 0) AS installed, count(*) AS members, bool_and(install_state <> 0) AS all_installed FROM st GROUP BY lang")
+def install_summary(spark, sf_dir):
+    return placement.install_summary(_states(spark, sf_dir), ["lang"])
+
+
+@query("SELECT count(*) AS catalog_files, CAST(sum(n_chars) AS BIGINT) AS catalog_bytes, count(*) AS disk_files, CAST(sum(length(text)) AS BIGINT) AS disk_bytes, sum(n_chars) = sum(length(text)) AS valid FROM documents")
+def catalog_validation(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return catalog.validate(d.select(F.col("n_chars").alias("file_size")), d.select(F.length("text").cast("bigint").alias("file_size")))
+
+
+@query(r"SELECT doc_id, CASE WHEN n < 1024 THEN n || 'B' WHEN n < 1048576 THEN regexp_replace(CAST(round(n / 1024.0, 1) AS DOUBLE)::VARCHAR, '\.0$', '') || 'KB' WHEN n < 1073741824 THEN regexp_replace(CAST(round(n / 1048576.0, 1) AS DOUBLE)::VARCHAR, '\.0$', '') || 'MB' ELSE regexp_replace(CAST(round(n / 1073741824.0, 1) AS DOUBLE)::VARCHAR, '\.0$', '') || 'GB' END AS shown FROM (SELECT doc_id, n_chars * n_chars AS n FROM documents)")
+def human_size(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", fn.human_size(F.col("n_chars") * F.col("n_chars")).alias("shown"))
+
+
+@query("""SELECT p_partkey, CASE WHEN contains(s, 'extrabold') OR contains(s, 'ultrabold') THEN 800 WHEN contains(s, 'semibold') OR contains(s, 'demi') THEN 600 WHEN contains(s, 'black') OR contains(s, 'heavy') THEN 900
+    WHEN contains(s, 'bold') THEN 700 WHEN contains(s, 'extralight') OR contains(s, 'ultralight') THEN 200 WHEN contains(s, 'light') THEN 300 WHEN contains(s, 'medium') THEN 500 WHEN contains(s, 'thin') THEN 100 ELSE 400 END AS weight,
+    CASE WHEN contains(s, 'italic') OR contains(s, 'oblique') THEN 'Italic' ELSE 'Normal' END AS slant
+    FROM (SELECT p_partkey, lower(p_type || CASE p_size % 8 WHEN 0 THEN ' DemiBold' WHEN 1 THEN ' Black Italic' WHEN 2 THEN ' Bold' WHEN 3 THEN ' UltraLight' WHEN 4 THEN ' Light Oblique' WHEN 5 THEN ' Thin' WHEN 6 THEN ' ExtraBold' ELSE '' END) AS s FROM part)""")
+def weight_from_style(spark, sf_dir):
+    words = F.element_at(F.array(*[F.lit(w) for w in (" DemiBold", " Black Italic", " Bold", " UltraLight", " Light Oblique", " Thin", " ExtraBold", "")]), F.col("p_size") % 8 + 1)
+    style = F.concat("p_type", words)
+    return table(spark, sf_dir, "part").select("p_partkey", fn.style_weight(style).alias("weight"), fn.style_slant(style).alias("slant"))
+
+
+@query("SELECT conv_id, array_to_string(list(role ORDER BY t), ',') AS tags FROM (SELECT conv_id, role, min(turn) AS t FROM conversations GROUP BY ALL) GROUP BY conv_id")
+def feature_distinct(spark, sf_dir):
+    tags = records.distinct_in_order(table(spark, sf_dir, "conversations"), ["conv_id"], "role", "turn")
+    return tags.select("conv_id", F.array_join("tags", ",").alias("tags"))
+
+
+@query("SELECT o_orderstatus AS tag, count(DISTINCT o_orderkey) AS lookup_count, string_agg(DISTINCT o_orderpriority, ', ' ORDER BY o_orderpriority) AS lookup_types FROM orders GROUP BY 1")
+def feature_summary(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("tag"), F.col("o_orderkey").alias("lookup"), F.col("o_orderpriority").alias("kind"))
+    return records.feature_summary(o, [])
+
+
+@query("SELECT l_suppkey, glyph, components FROM (SELECT l_suppkey, l_linenumber AS glyph, l_returnflag || l_linestatus AS components, row_number() OVER (PARTITION BY l_suppkey ORDER BY min(l_orderkey), l_linenumber, l_returnflag || l_linestatus) AS k FROM lineitem GROUP BY 1, 2, 3) WHERE k <= 20")
+def ligature_report(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select("l_suppkey", F.col("l_linenumber").alias("glyph"), F.concat("l_returnflag", "l_linestatus").alias("components"), F.col("l_orderkey").alias("ord"))
+    return records.distinct_ligatures(rows, ["l_suppkey"], most=20)
+
+
+@query("SELECT l_suppkey AS glyph, arg_min(l_partkey, l_orderkey * 10 + l_linenumber) AS codepoint FROM lineitem WHERE l_suppkey <> 0 GROUP BY 1")
+def glyph_map(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("glyph"), F.col("l_partkey").alias("codepoint"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"))
+    return records.glyph_to_codepoint(rows, [])
+
+
+@query("WITH f AS (SELECT doc_id, text, source || '/' || lang AS target, min(doc_id) OVER (PARTITION BY text) AS first FROM documents) SELECT doc_id, CASE WHEN doc_id <> first THEN 'delete' WHEN doc_id % 5 = 0 THEN 'keep' ELSE 'move' END AS action FROM f")
+def repair_actions(spark, sf_dir):
+    d = _contents(spark, sf_dir).withColumn("path", F.col("doc_id"))
+    target = F.when(F.col("doc_id") % 5 == 0, F.col("doc_id")).otherwise(-1)
+    return placement.repair_plan(d.withColumn("target", target), "path", "sha256", "target").select("doc_id", "action")
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def event_windows(spark, sf_dir):
+    out = incremental.windowed_counts(table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")))
+    return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@query("SELECT source, count(*) AS n, string_agg(DISTINCT lang, ',' ORDER BY lang) AS langs FROM documents GROUP BY source")
+def import_available_now(spark, sf_dir):
+    """Documents through a checkpointed stream that takes what is there and stops."""
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        import tempfile
+
+        base = f"file://{tempfile.mkdtemp(prefix='lithos-')}"
+    at = f"{base.rstrip('/')}/import-{uuid.uuid4().hex}"
+    path = f"{sf_dir.rstrip('/')}/documents.parquet"
+    schema = spark.read.parquet(path).schema
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 64).parquet(path if path.startswith("viewfs") else _folder_glob(path))
+    run = source.select("doc_id", "lang", "source").writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start()
+    run.awaitTermination()
+    rows = spark.read.parquet(f"{at}/out")
+    return rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_set("lang")), ",").alias("langs"))
+
+
+def _folder_glob(path: str) -> str:
+    return path + "*"  # a stream lists a folder or a pattern, not one plain file
+
+
+@query(f"""WITH d AS (SELECT min(doc_id) AS doc_id, min_by(lang, doc_id) AS lang, min_by(source, doc_id) AS source, text, count(*) AS copies FROM documents GROUP BY text),
+    l AS (SELECT doc_id, lang, source, copies, length(text) AS size, {_LICENCE.replace("doc_id % 50 = 7", "false")} AS licence FROM d)
+    SELECT lang, source, doc_id, size, licence, copies, variants FROM (SELECT *, count(*) OVER (PARTITION BY lang, source) AS variants, row_number() OVER (PARTITION BY lang, source ORDER BY size DESC, copies DESC, doc_id) AS k FROM l) WHERE k = 1""")
+def flagship(spark, sf_dir):
+    """Fingerprint, exact dedup, licence class and best variant per (lang, source), sorted."""
+    d = table(spark, sf_dir, "documents")
+    rows = d.select("doc_id", "lang", "source", F.sha2("text", 256).alias("sha256"), F.length("text").alias("size"), fn.licence_class(F.lit(""), F.col("text"), F.lit(""), F.lit(0)).alias("licence"))
+    firsts = rows.groupBy("sha256").agg(F.min_by(F.struct("doc_id", "lang", "source", "size", "licence"), "doc_id").alias("r"), F.count(F.lit(1)).alias("copies")).select("r.*", "copies")
+    best = firsts.groupBy("lang", "source").agg(F.min(F.struct((-F.col("size")).alias("s"), (-F.col("copies")).alias("c"), "doc_id", "size", "licence", "copies")).alias("b"), F.count(F.lit(1)).alias("variants"))
+    return best.select("lang", "source", "b.doc_id", "b.size", "b.licence", "b.copies", "variants").orderBy("lang", "source")
