@@ -38,7 +38,7 @@ def distinct_ligatures(ligatures: DataFrame, keys: list[str], most: int = 1500)
 
 def glyph_to_codepoint(cmap: DataFrame, keys: list[str]) -> DataFrame:
     """The first code point that maps to each glyph (columns glyph, codepoint, ord)."""
-    return cmap.filter("glyph <> 0").groupBy(*keys, "glyph").agg(F.min_by("codepoint", "ord").alias("codepoint"))
+    return cmap.filter("glyph <> 0").groupBy(*keys, "glyph").agg(F.min_by("codepoint", F.struct("ord", "codepoint")).alias("codepoint"))
 
 
 def name_to_codepoint(names: DataFrame, table: DataFrame, name: str) -> DataFrame:

@@ -257,7 +257,7 @@ def coverage_count(spark, sf_dir):
 
 
 _BLOCKS = "bl(block_start, block_end, block) AS (VALUES " + ", ".join(f"({a}, {b}, '{n}')" for a, b, n in iv.BLOCKS) + ")"
-_COVER = f"{_RUNS}, {_BLOCKS}, d AS (SELECT DISTINCT doc_id FROM i), c AS (SELECT d.doc_id, block_start, block, block_end - block_start + 1 AS size, CAST(coalesce(sum(least(\"end\", block_end) - greatest(\"start\", block_start) + 1), 0) AS BIGINT) AS present FROM d CROSS JOIN bl LEFT JOIN i ON i.doc_id = d.doc_id AND \"start\" <= block_end AND \"end\" >= block_start GROUP BY ALL)"
+_COVER = f"{_RUNS}, {_BLOCKS}, d AS (SELECT DISTINCT doc_id FROM i), c AS (SELECT d.doc_id, block_start, block, block_end - block_start + 1 AS size, CAST(coalesce(sum(CASE WHEN \"start\" IS NOT NULL THEN least(\"end\", block_end) - greatest(\"start\", block_start) + 1 END), 0) AS BIGINT) AS present FROM d CROSS JOIN bl LEFT JOIN i ON i.doc_id = d.doc_id AND \"start\" <= block_end AND \"end\" >= block_start GROUP BY ALL)"
 
 
 @query(f"WITH {_COVER} SELECT doc_id, block_start, block, size, present FROM c")
@@ -352,7 +352,7 @@ def ligature_report(spark, sf_dir):
     return records.distinct_ligatures(rows, ["l_suppkey"], most=20)
 
 
-@query("SELECT l_suppkey AS glyph, arg_min(l_partkey, l_orderkey * 10 + l_linenumber) AS codepoint FROM lineitem WHERE l_suppkey <> 0 GROUP BY 1")
+@query("SELECT l_suppkey AS glyph, arg_min(l_partkey, (l_orderkey * 10 + l_linenumber) * 1000000000 + l_partkey) AS codepoint FROM lineitem WHERE l_suppkey <> 0 GROUP BY 1")
 def glyph_map(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("glyph"), F.col("l_partkey").alias("codepoint"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"))
     return records.glyph_to_codepoint(rows, [])

@@ -23,7 +23,7 @@ def decode_stream(spark: SparkSession, root: str, target: str, checkpoint: str,
     ``maxFilesPerTrigger`` bounds what is in flight.  Spark's file source passes over names
     that begin with "." or "_"; use resume() where those matter.
     """
-    files = spark.readStream.format("binaryFile").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", per_trigger).load(root)
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", per_trigger).load(root)
     rows = decoded(routed(files.select(F.regexp_replace("path", "^file:/+", "/").alias("path"), "length", "content")))
     return rows.writeStream.format("parquet").option("path", target).option("checkpointLocation", f"{checkpoint}/{session_name([root], target)}").trigger(availableNow=True).start()
 
