@@ -60,10 +60,9 @@ def exact_dedup(
         found = rows.select("id", "digest", "salt").join(by_salt, ["digest", "salt"])
     else:
         apart = rows.join(shared, "digest", "left_anti").select("id", "digest", "salt").join(by_salt, ["digest", "salt"])
-        winners = groups.join(shared, "digest", "left_semi").select("keep_id", "group_size", "text_sha256")
-        contents = rows.select(F.col("id").alias("keep_id"), "norm").dropDuplicates(["keep_id"])
-        winners = winners.join(contents, "keep_id")
-        together = rows.join(shared, "digest", "left_semi").select("id", "norm").join(winners, "norm")
+        alike = rows.join(shared, "digest", "left_semi").select("id", "digest", "norm")
+        winners = alike.groupBy("digest", "norm").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+        together = alike.join(winners, ["digest", "norm"]).withColumn("text_sha256", F.sha2("norm", 256))
         columns = ["id", "keep_id", "group_size", "text_sha256"]
         found = apart.select(*columns).unionByName(together.select(*columns))
     return found.select(

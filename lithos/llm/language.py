@@ -42,7 +42,7 @@ _TAG = re.compile(r"<[^>]*>")
 
 def visible(page: str) -> str:
     """The page's text without markup, scripts and navigation."""
-    return html.unescape(_TAG.sub(" ", _HIDDEN.sub(" ", page)))
+    return " ".join(html.unescape(_TAG.sub(" ", _HIDDEN.sub(" ", page))).split())
 
 
 def trigrams(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -141,12 +141,13 @@ def identify(
     hosts = smoothed(hosts.join(domains, ["domain", "top"]), [F.col("p_domain")[i] for i in range(len(languages))], "prior").select("host", "salts", "prior")
 
     def table_of(column: str) -> dict[str, np.ndarray]:
-        """log P(value | language) of a column with few values: the languages and "other"."""
-        out = {v: np.ones(len(languages)) for v in (*languages, "other")}
+        """log P(value | language), drawn towards P(value); "other" tells nothing."""
+        n = {v: np.zeros(len(languages)) for v in (*languages, "other")}
         for r in seen.filter("k is not null").groupBy(column, "k").agg(F.count(F.lit(1)).alias("n")).collect():
-            out[r[column]][r["k"]] += r["n"]
-        whole = sum(out.values())
-        return {v: np.log(x / whole) for v, x in out.items()}
+            n[r[column]][r["k"]] += r["n"]
+        whole = sum(n.values())
+        share = {v: (x.sum() + 1.0) / (whole.sum() + len(n)) for v, x in n.items()}
+        return {v: np.log((x + BORROW * share[v]) / (whole + BORROW)) if v != "other" else np.zeros(len(languages)) for v, x in n.items()}
 
     def evidence(column: str):
         t = table_of(column)

@@ -126,7 +126,7 @@ def score_quality(
         weights, bias = shared.value
         for batch in slices(batches, "text"):
             s = 1 / (1 + np.exp(-np.clip(logits(weights, bias, *text_bytes(batch.column("text"))), -30, 30)))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(s)], names=["id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.round(s, 9))], names=["id", "score"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     scored = rows.mapInArrow(score, f"id {rows.schema['id'].dataType.simpleString()}, score double")
