@@ -8,6 +8,8 @@ that sees the first characters of a name alone.
 from __future__ import annotations
 
 import unicodedata
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column
@@ -126,8 +128,18 @@ def vault_path(display: Column, style: Column, version: Column, glyphs: Column,
 def licence_class(copyright_: Column, description: Column, url: Column, fs_type: Column) -> Column:
     """Free wording first, then the restricted-embedding bit, then paid wording, else Unknown."""
     text = F.lower(F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in (copyright_, description, url)]))
-    some = lambda words: F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(text, w))
-    return F.when(some(FREE_WORDING), "Free").when(fs_type.bitwiseAND(2) != 0, "Paid").when(some(PAID_WORDING), "Paid").otherwise("Unknown")
+    restricted = fs_type.bitwiseAND(2) != 0
+    return bound(text, lambda t: F.when(any_of(t, FREE_WORDING), "Free").when(restricted, "Paid").when(any_of(t, PAID_WORDING), "Paid").otherwise("Unknown"))
+
+
+def bound(c: Column, use) -> Column:
+    """use(c) with c computed once, however often it occurs there."""
+    return F.element_at(F.transform(F.array(c), use), 1)
+
+
+def any_of(text: Column, words) -> Column:
+    """Whether any of the words occurs, taken literally."""
+    return reduce(or_, [F.contains(text, F.lit(w)) for w in words])
 
 
 def metadata_score(names: list[Column], has_os2: Column) -> Column:
@@ -169,12 +181,13 @@ _DECLARED = (
 
 
 def _by_wording(c: Column, table, otherwise) -> Column:
-    lowered = F.lower(c)
-    out = None
-    for words, value in table:
-        hit = F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(lowered, w))
-        out = F.when(hit, value) if out is None else out.when(hit, value)
-    return out.otherwise(otherwise)
+    def use(t: Column) -> Column:
+        out = F
+        for words, value in table:
+            out = out.when(any_of(t, words), value)
+        return out.otherwise(otherwise)
+
+    return bound(F.lower(c), use)
 
 
 def style_weight(style: Column) -> Column:
@@ -209,6 +222,11 @@ def codepoints(text: Column) -> Column:
     return F.transform(F.filter(F.split(text, ""), lambda ch: F.length(ch) > 0), F.ascii)
 
 
+def distinct_codepoints(text: Column) -> Column:
+    """The distinct code points of a text; repeats go before anything is computed on them."""
+    return F.transform(F.filter(F.array_distinct(F.split(text, "")), lambda ch: F.length(ch) > 0), F.ascii)
+
+
 def glyph_label(codepoint: Column, glyph: Column) -> Column:
     """The character; U+XXXX for blanks and controls; #glyph if there is no character."""
     blank = (codepoint <= 32) | codepoint.between(127, 160)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lithos.functions.intervals import covered
-from lithos.functions.names import effective_style, format_priority, group_key, vault_path, version_number
+from lithos.functions.names import effective_style, format_priority, group_key, marker_crc, vault_path, version_number
 from lithos.operators.dedup import exact_groups, match_existing, unmatched
 from lithos.operators.placement import repair_plan, resolve_collisions
 from lithos.operators.selection import additive_selection
@@ -150,6 +150,27 @@ def export_plan(entries: DataFrame, folder: str) -> DataFrame:
     return named.select(F.col("vault_path").alias("src"), F.concat(F.lit(folder.rstrip("/") + "/"), F.col("target")).alias("dst"))
 
 
+def write_rejects(decoded: DataFrame, path: str) -> None:
+    """Rejected files as tab-separated lines: time, stage, path, message, with line breaks blanked."""
+    flat = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"[\r\n\t]+", " ")
+    rows = decoded.filter("status <> 'ok'").select(F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("ts"), F.lit("decode").alias("stage"), flat(F.col("path")).alias("path"), flat(F.col("error")).alias("message"))
+    rows.write.mode("append").csv(path, sep="\t")
+
+
+def quarantine_plan(decoded: DataFrame, folder: str) -> DataFrame:
+    """(src, dst) of unreadable files; a checksum of the source path keeps equal names apart."""
+    whole = decoded.filter("status <> 'ok'").filter(~F.contains("path", F.lit("!")))
+    base = F.regexp_extract("path", r"([^/]+)$", 1)
+    return whole.select(F.col("path").alias("src"), F.concat(F.lit(folder.rstrip("/") + "/"), F.lpad(F.hex(F.crc32(F.col("path").cast("binary"))), 8, "0"), F.lit("_"), base).alias("dst"))
+
+
+def installed_listing(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(checksums named by markers, size and checksum of all others) of asset files in system folders."""
+    own = files.filter("route = 'asset'").withColumn("marker", marker_crc(F.col("path")))
+    raw = F.col("content")
+    return own.filter("marker is not null").select(F.col("marker").alias("crc32")), own.filter("marker is null").select(F.octet_length(raw).cast("bigint").alias("file_size"), F.crc32(raw).alias("crc32"))
+
+
 def copy_files(plan: DataFrame) -> DataFrame:
     """Carries out a (src, dst) plan on the executors, by way of a temporary name; (src, dst, outcome) rows.
 

@@ -242,7 +242,7 @@ _RUNS = f"{_POINTS}, q AS (SELECT doc_id, cp, cp - row_number() OVER (PARTITION
 def _points(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     # Distinct within the row first: a text has few distinct characters, so little is exploded.
-    return d.select("doc_id", F.explode(F.array_distinct(fn.codepoints(F.col("text")))).alias("cp"))
+    return d.select("doc_id", F.explode(fn.distinct_codepoints(F.col("text"))).alias("cp"))
 
 
 @query(f"WITH {_RUNS} SELECT doc_id, \"start\", \"end\" FROM i")
@@ -365,6 +365,26 @@ def repair_actions(spark, sf_dir):
     return placement.repair_plan(d.withColumn("target", target), "path", "sha256", "target").select("doc_id", "action")
 
 
+@query("SELECT c_custkey, CAST(CASE c_custkey % 3 WHEN 0 THEN c_custkey % 65536 WHEN 1 THEN 98 ELSE -1 END AS INT) AS codepoint FROM customer")
+def glyph_names(spark, sf_dir):
+    kind, code = F.col("c_custkey") % 3, F.lpad(F.hex(F.col("c_custkey") % 65536), 4, "0")
+    name = F.when(kind == 0, F.concat(F.lit("uni"), code)).when(kind == 1, "b.alt").otherwise("zzz")
+    listed = spark.createDataFrame([("b", 98)], "glyph_name string, codepoint int")
+    return records.name_to_codepoint(table(spark, sf_dir, "customer").select("c_custkey", name.alias("name")), listed, "name").select("c_custkey", "codepoint")
+
+
+@query("SELECT c_custkey, c_custkey AS crc FROM customer")
+def marker_round_trip(spark, sf_dir):
+    name = fn.marker_name(F.col("c_name"), F.lit("Regular"), F.col("c_custkey"), F.lit("ttf"))
+    return table(spark, sf_dir, "customer").select("c_custkey", fn.marker_crc(name).alias("crc"))
+
+
+@query("SELECT p_partkey, CASE WHEN upper(p_brand) = upper(p_name) THEN p_brand || '|' || p_type ELSE p_brand || '|' || p_type || '|' || p_name END AS paths FROM part")
+def paths_union(spark, sf_dir):
+    both = dedup.union_ignoring_case(F.array("p_brand", "p_type"), F.array(F.lower("p_type"), "p_name"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(both, "|").alias("paths"))
+
+
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def event_windows(spark, sf_dir):
     out = incremental.windowed_counts(table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")))

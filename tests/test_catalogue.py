@@ -131,6 +131,11 @@ def test_import_accounts_for_every_file_and_is_idempotent(spark, tree, tmp_path)
     assert catalog.load(spark, root).count() == 1
     assert catalog.load(spark, str(tmp_path / "none")) is None
     assert catalog.heavy(catalog.load(spark, root), F.lit(True)).first()["coverage"][0]["start"] == 65
+    catalog.write_rejects(rows, str(tmp_path / "log"))
+    assert spark.read.csv(str(tmp_path / "log"), sep="\t").count() == 1
+    assert [r["src"].rpartition("/")[2] for r in catalog.quarantine_plan(rows, "/q").collect()] == ["bad.ttf"]
+    own, other = catalog.installed_listing(routed(read_trees(spark, [str(tree)])))
+    assert own.count() == 0 and other.count() == 5
     plan = {r["path"].rpartition("/")[2]: r["action"] for r in catalog.plan_repair(rows.filter("status = 'ok'")).collect()}
     assert plan["copy.ttf"] == "delete" and plan["b.TTF"] == "move"
     moves = spark.createDataFrame([(str(tree / "b.TTF"), str(tmp_path / "out/b.ttf"))], "src string, dst string")
