@@ -15,7 +15,7 @@
 4. Links give components.  A long list whose entries all lie in one component is settled.
    For the others an exact rest pass compares, block by block and inside the task, all
    signatures of entries that are not yet connected; pairs at the threshold are confirmed
-   in rounds until none is left untested.
+   there and then, so a block pair gives a link for each two components it joins at most.
 
 Thresholds leave five standard deviations: a pair at exactly the link similarity is
 missed about once in 10^6.  Every link is confirmed on full sets.
@@ -38,7 +38,7 @@ SIMILARITY = 80
 COORDINATES, FIRST = 128, 40
 SALTS = 32
 #: Lists up to SHORT give all pairs; longer ones are chunked by CHUNK; the rest pass compares BLOCK by BLOCK.
-SHORT, CHUNK, BLOCK = 8, 32, 1024
+SHORT, CHUNK, BLOCK = 8, 32, 512
 
 _R = np.random.default_rng(20240607)
 _A = _R.integers(0, 2**32, COORDINATES, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
@@ -139,29 +139,40 @@ def _confirm(size: int, similarity: int):
     return run
 
 
-def _blocks(similarity: int, most: int):
-    """Of one block pair: for each entry and each other component, its ``most`` best pairs at the threshold."""
+def _blocks(size: int, similarity: int):
+    """Links of one block pair, confirmed on full sets; entries that are connected already are not compared."""
     least = least_matches(COORDINATES, similarity)
 
     def run(group: pa.Table) -> pa.Table:
-        ids, comp, n = (group.column(k).to_numpy() for k in ("id", "component", "n"))
+        group = group.combine_chunks()
+        ids, comp, n, side = (group.column(k).to_numpy() for k in ("id", "component", "n", "side"))
         m = _matrix(group.column("sketch").combine_chunks())
-        side = group.column("side").to_numpy()
+        sets, at = shingle_sets(group.column("text").combine_chunks(), size)
+        parent = np.unique(comp, return_inverse=True)[1].astype(np.int64)
+        root_of = np.arange(parent.max() + 1)  # union-find over components; parent: entry to component
+
+        def root(x: int) -> int:
+            while root_of[x] != x:
+                root_of[x] = x = root_of[root_of[x]]
+            return x
+
         left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)  # 2: the block meets itself
         found: list[tuple[int, int]] = []
         for i in left:
-            js = right[(comp[right] != comp[i]) & (100 * np.minimum(n[right], n[i]) >= similarity * np.maximum(n[right], n[i]))]
-            if not len(js):
-                continue
-            hits = (m[js] == m[i]).sum(axis=1)
-            js, hits = js[hits >= least], hits[hits >= least]
-            order = np.lexsort((-hits, comp[js]))
-            js = js[order]
-            c = comp[js]
-            rank = np.arange(len(c)) - np.searchsorted(c, c)
-            found += [(min(ids[i], ids[j]), max(ids[i], ids[j])) for j in js[rank < most]]
-        a = np.unique(np.array(found, np.int64).reshape(-1, 2), axis=0)
-        return pa.table({"a": a[:, 0], "b": a[:, 1]})
+            js = right[(parent[right] != parent[i]) & (100 * np.minimum(n[right], n[i]) >= similarity * np.maximum(n[right], n[i]))]
+            js = js[(m[js] == m[i]).sum(axis=1) >= least]
+            x = sets[at[i] : at[i + 1]]
+            for j in js:
+                a, b = root(int(parent[i])), root(int(parent[j]))
+                if a == b:
+                    continue
+                y = sets[at[j] : at[j + 1]]
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if 100 * both >= similarity * (len(x) + len(y) - both):
+                    root_of[max(a, b)] = min(a, b)
+                    found.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+        got = np.array(found, np.int64).reshape(-1, 2)
+        return pa.table({"a": got[:, 0], "b": got[:, 1]})
 
     return run
 
@@ -214,34 +225,24 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = settled(components(links))
 
     # The rest: long lists over several components.
-    tested, most = None, 1
-    while top > SHORT:
+    if top > SHORT:
         labelled = long.join(found, long["id"] == found["node"], "left").select("key", "id", F.coalesce("component", "id").alias("component"))
         open_lists = labelled.groupBy("key").agg(F.min("id").alias("head"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
         # Lists that share entries become one cluster: each pair is compared once, not once a list.
-        members = settled(labelled.join(open_lists.select("key", "head"), "key").select("id", "component", F.col("head")).distinct())
+        members = settled(labelled.join(open_lists.select("key", "head"), "key").select("id", "component", "head").distinct())
         clusters = components(members.select(F.col("head").alias("a"), F.col("id").alias("b")))
         own = members.select("id", "component").distinct().join(clusters.select(F.col("node").alias("id"), F.col("component").alias("cluster")), "id")
         sizes = own.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
         own = own.join(sizes, "cluster").withColumn("blocks", F.ceil(F.col("size") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
-        own = own.join(entries.select("id", "n", "sketch"), "id")
         dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
         dealt = dealt.select(
-            "id", "component", "n", "sketch", "cluster",
-            F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
+            "id", "component", "cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
             F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1).alias("side"),
         )
-        again = dealt.groupBy("cluster", "i", "j").applyInArrow(_blocks(similarity, most), "a bigint, b bigint").distinct()
-        again = again.join(links, ["a", "b"], "left_anti")
-        if tested is not None:
-            again = again.join(tested, ["a", "b"], "left_anti")
-        again = settled(again)
-        if again.isEmpty():
-            break
-        tested = again if tested is None else settled(tested.unionByName(again))
-        links = settled(links.unionByName(confirmed(again)))
-        found = settled(components(links))
-        most *= 4
+        dealt = dealt.join(entries.select("id", "n", "sketch"), "id").join(texts, "id")
+        more = settled(dealt.groupBy("cluster", "i", "j").applyInArrow(_blocks(shingle, similarity), "a bigint, b bigint"))
+        if not more.isEmpty():
+            found = settled(components(links.unionByName(more)))
 
     component = classes.join(found, classes["least"] == found["node"], "left").select(*keys, "salts", F.coalesce("component", "least").alias("component_id"))
     grouped = rejoin(salted, component, keys).select("id", "n", "component_id")
