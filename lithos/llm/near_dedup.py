@@ -111,13 +111,22 @@ def shared_values(reps: DataFrame, coordinates: int) -> DataFrame:
     return posted.join(freq, "key")
 
 
+def _briefs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The low byte of each coordinate: enough to count collisions, where one in 256 is by chance, and a quarter to ship."""
+    for b in batches:
+        if b.num_rows:
+            low = _matrix(b.column("sketch")).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("n"), pa.array([x.tobytes() for x in low], pa.binary())], names=["id", "n", "brief"])
+
+
 def _alike(similarity: int):
     least = least_matches(COORDINATES, similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                ok = (_matrix(b.column("sketch_a")) == _matrix(b.column("sketch_b"))).sum(axis=1) >= least
+                x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint8).reshape(-1, COORDINATES) for k in ("brief_a", "brief_b"))
+                ok = (x == y).sum(axis=1) >= least
                 yield b.select(["a", "b"]).filter(pa.array(ok))
 
     return run
@@ -219,7 +228,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         width = -(-width // CHUNK)
         if width <= 1:
             break
-    side = lambda x: entries.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
+    briefs = settled(entries.select("id", "n", "sketch").mapInArrow(_briefs, "id bigint, n bigint, brief binary"))
+    side = lambda x: briefs.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("brief").alias(f"brief_{x}"))
     alike = pairs.distinct().join(side("a"), "a").join(side("b"), "b").filter(100 * F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b"))
     links = settled(confirmed(alike.mapInArrow(_alike(similarity), "a bigint, b bigint")))
     found = settled(components(links))

@@ -43,6 +43,9 @@ def rejoin(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(groups.withColumn("salt", F.explode("salts")).drop("salts"), [*keys, "salt"])
 
 
+EDGES_PER_PART = 100_000
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of the nodes of undirected edges (a, b); a component is its smallest node.
 
@@ -58,9 +61,10 @@ def components(edges: DataFrame) -> DataFrame:
                 e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
             )
         state = tuple(now)
+        parts = 1 + now[0] // EDGES_PER_PART  # few edges in few files; the count never grows
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(least.select("u", F.col("m").alias("v")))
-        e = settled(small.distinct())
+        e = settled(small.distinct().coalesce(parts))
