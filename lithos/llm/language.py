@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lithos.llm.shared import rejoin, settled
+from lithos.llm.shared import drawn, rejoin, settled
 from lithos.llm.textops import LOWER, U, mix, text_bytes
 
 LANGUAGES = ("de", "en", "es", "fr")
@@ -87,7 +87,7 @@ def _likelihoods(shared, languages: tuple[str, ...]):
 
 
 def identify(
-    pages: DataFrame, docs: DataFrame, page_col: str = "page_id", url_col: str = "url", html_col: str = "html", text_col: str = "text", lang_col: str = "lang",
+    pages: DataFrame, docs: DataFrame, page_col: str = "page_id", url_col: str = "url", html_col: str = "html", id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
     languages: tuple[str, ...] = LANGUAGES, train_rows: int = TRAIN_ROWS,
 ) -> DataFrame:
     """One row per page: page_col, host, declared, suffix, text_lang, lang, confidence.
@@ -97,11 +97,13 @@ def identify(
     languages and suffixes count as "other".  Repeated pages count and score like any.
     """
     spark = pages.sparkSession
-    texts = docs.filter(F.col(lang_col).isin(*languages) & F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    usable = docs.filter(F.col(lang_col).isin(*languages) & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
     sample = None
-    for k in languages:  # a bounded number of rows of each language, by a hash of the text
-        part = texts.filter(F.col("lang") == k).orderBy(F.xxhash64("text"), "text").limit(train_rows)
+    for k in languages:  # a bounded number of each language, chosen by ids alone
+        part = drawn(usable.filter(F.col(lang_col) == k).select(F.col(id_col).alias("id")), F.xxhash64("id"), train_rows)
         sample = part if sample is None else sample.unionByName(part)
+    texts = usable.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    sample = texts.join(F.broadcast(sample), "id").orderBy("id", "lang").limit(train_rows * len(languages))
     got = sample.toArrow()
     shared = spark.sparkContext.broadcast(fit(got.column("text").to_pylist(), got.column("lang").to_pylist(), languages))
 

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lithos.llm.shared import drawn
 from lithos.llm.textops import LOWER, SPACED, U, gram_hashes, hash_spans, mix, per_document, slices, sums, text_bytes, word_spans
 
 #: Most labelled rows a model is fitted on.
@@ -98,12 +99,8 @@ def ftrl(texts: list[str], y: np.ndarray, epochs: int = 3, alpha: float = 2.0, b
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col: str, most: int, seed: int) -> tuple[list[str], np.ndarray]:
     """Texts and labels of at most ``most`` rows that may be learnt from, chosen by a hash of the id."""
-    wanted = (
-        labels.select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("y"))
-        .filter(F.col("y").isNotNull() & F.col("id").isNotNull() & ~held_out(F.col("id")))
-        .orderBy(F.xxhash64("id", F.lit(seed)), "id", "y")
-        .limit(most)
-    )
+    usable = labels.select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("y")).filter(F.col("y").isNotNull() & F.col("id").isNotNull() & ~held_out(F.col("id")))
+    wanted = drawn(usable, F.xxhash64("id", F.lit(seed)), most)
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     got = texts.join(F.broadcast(wanted), "id").orderBy("id").limit(most).toArrow()  # at most `most` rows
     return got.column("text").to_pylist(), np.array(got.column("y").to_pylist(), dtype=np.float64)

@@ -43,6 +43,19 @@ def rejoin(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(groups.withColumn("salt", F.explode("salts")).drop("salts"), [*keys, "salt"])
 
 
+def drawn(df: DataFrame, draw, most: int) -> DataFrame:
+    """The ``most`` rows with the least draws (a 64-bit hash Column).
+
+    A limit sends each task's first rows to one place, which grows with the tasks; so rows
+    that a draw this large keeps out are filtered first, by a count of all.
+    """
+    df = df.withColumn("_draw", F.shiftrightunsigned(draw, 1))
+    total = df.count()
+    if total > 8 * most:
+        df = df.filter(F.col("_draw") <= int(2**63 * (4 * most / total)))
+    return df.orderBy("_draw", *[c for c in df.columns if c != "_draw"]).limit(most).drop("_draw")
+
+
 EDGES_PER_PART = 100_000
 
 

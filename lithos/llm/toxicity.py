@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lithos.llm.quality import held_out
+from lithos.llm.shared import drawn
 from lithos.llm.textops import ALNUM, LOWER, U, hash_spans, mix, slices, sums, text_bytes, word_spans
 
 #: Most labelled rows a model is fitted on, and the share of them kept aside for calibration.
@@ -192,7 +193,7 @@ def cutoff(z: np.ndarray, y: np.ndarray, otherwise: float) -> float:
 def labelled_halves(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col: str, most: int) -> tuple[list[str], np.ndarray]:
     """At most ``most`` rows that may be learnt from, positives first up to half of them."""
     own = labels.select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("y")).filter(F.col("y").isNotNull() & F.col("id").isNotNull() & ~held_out(F.col("id")))
-    part = lambda y, n: own.filter(F.col("y") == y).orderBy(F.xxhash64("id", F.lit(23)), "id").limit(n)
+    part = lambda y, n: drawn(own.filter(F.col("y") == y), F.xxhash64("id", F.lit(23)), n)
     wanted = part(1, most // 2).unionByName(part(0, most - most // 2))
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     got = texts.join(F.broadcast(wanted), "id").orderBy("id").limit(most).toArrow()  # at most `most` rows

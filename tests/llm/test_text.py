@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from lithos.llm.decontaminate import Automaton, decontaminate, remove_spans
 from lithos.llm.language import identify, visible
@@ -234,7 +235,7 @@ def test_training_order_round_trip(frame, tmp_path):
 
 
 def test_language(spark):
-    docs = spark.createDataFrame([(t, lang) for lang, t in {"en": "the house and the garden of this town", "de": "das haus und der garten in dieser stadt", "fr": "la maison et le jardin de cette ville", "es": "la casa y el jardín de esta ciudad"}.items() for _ in range(5)], "text string, lang string")
+    docs = spark.createDataFrame([(t, lang) for lang, t in {"en": "the house and the garden of this town", "de": "das haus und der garten in dieser stadt", "fr": "la maison et le jardin de cette ville", "es": "la casa y el jardín de esta ciudad"}.items() for _ in range(5)], "text string, lang string").withColumn("doc_id", F.monotonically_increasing_id())
     page = lambda lang, text: f'<html lang="{lang}"><head><title>t</title><script>var x="<p>the the</p>"</script></head><body><p>{text}</p></body></html>'
     rows = [(k, f"https://h{k % 3}.example.com/de/{k}", page("de", "das haus und der garten")) for k in range(30)]
     rows += [(100, "http://h0.example.com/x", page("xx", "")), (101, None, None), (102, "not a url", "<p>la maison et le jardin"), (103, "http://q.fr/", page("en", "the house and the garden of this town"))]
