@@ -62,7 +62,9 @@ class Feistel:
 
 def _sequences(length: int, end_id: int, width: int, least: int, span: int, per_doc: int, key: int, shards: int, hashed: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, order = encoder(), Feistel(span * per_doc, key)
+        size = span * per_doc
+        enc, order = encoder(), Feistel(size, key)
+        edges = np.array([-(-s * size // shards) for s in range(shards + 1)], dtype=np.uint64)
         for batch in batches:
             ids = np.array([span - 1 if x is None else (hash_id(x) % (span - 1) if hashed else x - least) for x in batch.column("id").to_pylist()], dtype=np.uint64)
             owner, index, used, blobs, crcs = [], [], [], [], []
@@ -70,9 +72,6 @@ def _sequences(length: int, end_id: int, width: int, least: int, span: int, per_
             def flush() -> pa.RecordBatch:
                 own = np.array(owner, np.int64)
                 x = order(ids[own] * U(per_doc) + np.array(index, np.uint64))
-                # range = floor(x * shards / size), in two steps that fit 64 bits
-                size = span * per_doc
-                edges = np.array([-(-s * size // shards) for s in range(shards + 1)], dtype=np.uint64)
                 shard = np.searchsorted(edges, x, side="right") - 1
                 cols = [batch.column("id").take(pa.array(own)), pa.array(index, pa.int32()), pa.array(used, pa.int32()), pa.array(crcs, pa.int64()), pa.array(shard, pa.int32()), pa.array(x.astype(np.int64)), pa.array(blobs, pa.binary())]
                 return pa.RecordBatch.from_arrays(cols, names=["id", "seq", "n_ids", "ids_crc32", "shard", "number", "ids"])
@@ -159,7 +158,7 @@ def training_order(
     schema = "id bigint, seq int, n_ids int, ids_crc32 bigint, shard int, number bigint, ids binary"
     sequences = rows.mapInArrow(_sequences(length, end_id, width, lo, span, per_doc, key, shards, hashed), schema)
     written = (
-        sequences.repartition(shards, "shard")
+        sequences.repartitionById(shards, F.col("shard"))
         .sortWithinPartitions("shard", "number", "id", "seq")
         .mapInArrow(_write(uri, length * width), "id bigint, seq int, n_ids int, ids_crc32 bigint, shard int, place bigint, byte_offset bigint")
     )
