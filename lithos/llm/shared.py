@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,13 +61,34 @@ def drawn(df: DataFrame, draw, most: int) -> DataFrame:
 EDGES_PER_PART = 100_000
 
 
+def contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The edges (u, v) of one task as (node, smallest node it reaches there), at most one for each node."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = root.setdefault(up, up)
+            x = root[x]
+        return x
+
+    for b in batches:
+        for u, v in zip(b.column("u").to_pylist(), b.column("v").to_pylist(), strict=True):
+            x, y = find(u), find(v)
+            root[max(x, y)] = min(x, y)
+    pairs = [(u, v) for u in list(root) if (v := find(u)) != u]
+    yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["u", "v"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of the nodes of undirected edges (a, b); a component is its smallest node.
 
     Alternates large-star and small-star steps, whose edge count never exceeds the input's,
-    until the edges no longer change; each round is settled.
+    until the edges no longer change.  Between them each task contracts its own edges, so
+    that edges held by one task need no rounds among themselves; each round is settled.
     """
-    e = settled(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
+    e = settled(edges.select(F.greatest("a", "b").cast("bigint").alias("u"), F.least("a", "b").cast("bigint").alias("v")).filter("u <> v").distinct())
+    parts = 1 + e.count() // EDGES_PER_PART  # few edges in few files; the count never grows
+    e = settled(e.coalesce(parts).mapInArrow(contracted, "u bigint, v bigint"))
     state = None
     while True:
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -74,10 +97,9 @@ def components(edges: DataFrame) -> DataFrame:
                 e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
             )
         state = tuple(now)
-        parts = 1 + now[0] // EDGES_PER_PART  # few edges in few files; the count never grows
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(least.select("u", F.col("m").alias("v")))
-        e = settled(small.distinct().coalesce(parts))
+        e = settled(small.distinct().coalesce(parts).mapInArrow(contracted, "u bigint, v bigint"))

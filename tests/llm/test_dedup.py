@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lithos.llm.exact_dedup import exact_dedup
 from lithos.llm.near_dedup import SHORT, least_matches, near_dedup
-from lithos.llm.shared import components
+from lithos.llm.shared import components, drawn
 from lithos.llm.substring import least, substring_dedup
 
 EDGE = [(1, None), (2, ""), (3, " \n"), (None, "lonely text"), (4, "w" * 200_000), (5, "a b"), (5, "a b"), (6, "a  b"), (7, "A\tb")]
@@ -138,7 +138,10 @@ def test_thresholds():
     assert least_matches(128, 80) == 79 and least_matches(40, 80) == 19
 
 
-def test_components(spark):
+@pytest.mark.parametrize("per_part", [40, 10**6])
+def test_components(spark, monkeypatch, per_part):
+    """In one task and over many."""
+    monkeypatch.setattr("lithos.llm.shared.EDGES_PER_PART", per_part)
     r = random.Random(7)
     edges = [(r.randint(0, 300), r.randint(0, 300)) for _ in range(200)] + [(k, k + 1) for k in range(1000, 1080)] + [(5, 5)]
     comp = {}
@@ -152,4 +155,12 @@ def test_components(spark):
         x, y = sorted((root(a), root(b)))
         comp[y] = x
     want = sorted((x, root(x)) for x in comp if x != 5 or any(5 in e and e != (5, 5) for e in edges))
-    assert sorted(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect())) == want
+    assert sorted(map(tuple, components(spark.createDataFrame(edges, "a long, b long").repartition(6)).collect())) == want
+
+
+@pytest.mark.parametrize("most", [5, 50, 5000])
+def test_drawn_is_the_least_draws(spark, most):
+    df = spark.range(2000)
+    draw = F.xxhash64("id")
+    want = [r.id for r in df.orderBy(F.shiftrightunsigned(draw, 1), "id").limit(most).collect()]
+    assert sorted(r.id for r in drawn(df, draw, most).collect()) == sorted(want)
