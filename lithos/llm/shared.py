@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Iterator
 
@@ -25,7 +26,13 @@ def settled(df: DataFrame) -> DataFrame:
     at = shared_dir(spark)
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(at)
-    return df.checkpoint(eager=True)
+    kept = df.checkpoint(eager=True)
+    # What led here is no longer needed.  Spark removes its shuffle files and checkpoints when
+    # the driver collects the garbage that refers to them, which alone could take half an hour.
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return kept
 
 
 def spread(rows: DataFrame, keys: list[str], id_col: str, salts: int) -> tuple[DataFrame, DataFrame]:
