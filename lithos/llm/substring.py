@@ -18,8 +18,10 @@ that tree in one piece is out of the question, so:
 * Overlapping repeats of a document unite to its maximal repeated passages, which are cut
   out of the text.
 
-Paths are compared by fingerprint: 32 bits of the prefix and 32 of the path within a
-bucket, i.e. about 64 + log2(buckets) bits a comparison.
+Paths are compared by fingerprint and not verified on their words: all 64 bits of the
+path's hash, within a task as between tasks.  Windows of different prefixes are told apart
+by 32 bits of the prefix and log2(buckets) bits on top, windows of one prefix by the 64
+bits alone, so F different windows under one prefix give about F^2 / 2^65 false repeats.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ from lithos.llm.textops import SPACED, U, gram_hashes, hash_spans, mix, slices,
 
 WINDOW = 20
 PREFIX = 4
-#: Most suffixes of a subtree group that are handled at a time (about 40 bytes each).
+#: Most suffixes of a subtree group that are handled at a time (about 48 bytes each).
 GROUP = 2_000_000
 #: Bytes of text whose subtrees a task builds at a time.
 SLICE = 3 << 20
@@ -75,7 +77,7 @@ def _put(anchor: np.ndarray, doc: np.ndarray, pos: np.ndarray, count: np.ndarray
 def _get(blob: bytes) -> tuple[np.ndarray, ...]:
     runs, labels, base, wide, far = np.frombuffer(blob, "<i8", 5).tolist()
     at, out = 40, []
-    for kind, n in (("<u4", runs), ("<u8" if wide else "<u4", runs), ("<u4" if far else "<u2", runs), ("u1", runs), ("<u4", labels)):
+    for kind, n in (("<u4", runs), ("<u8" if wide else "<u4", runs), ("<u4" if far else "<u2", runs), ("u1", runs), ("<u8", labels)):
         out.append(np.frombuffer(blob, kind, n, at))
         at += n * np.dtype(kind).itemsize
     anchor, doc, pos, count, label = out
@@ -143,7 +145,7 @@ def _suffixes(window: int, buckets: int, slice_bytes: int):
                 by = np.argsort(bucket, kind="stable")
                 lens = length[by]
                 take = np.repeat(head[by] - np.concatenate([[0], np.cumsum(lens)[:-1]]), lens) + np.arange(len(k))
-                label = (path[keep][take] >> U(32)).astype("<u4")
+                label = path[keep][take].astype("<u8")  # whole: within a prefix nothing else tells windows apart
                 a32, d, q, c = a[head][by].astype("<u4"), doc[keep][head][by], pos[keep][head][by], lens.astype("u1")
                 edge = np.flatnonzero(np.concatenate([[True], np.diff(bucket[by]) != 0, [True]]))
                 lab = np.concatenate([[0], np.cumsum(lens)])
@@ -157,18 +159,17 @@ def _suffixes(window: int, buckets: int, slice_bytes: int):
 
 def repeats(anchor: np.ndarray, label: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(doc, pos) of all leaves but the first of each node."""
-    key = anchor.astype(np.uint64) << U(32) | label
-    order = np.argsort(key)
-    k = key[order]
+    order = np.argsort(label)
+    k = label[order]
     same = np.zeros(len(k) + 1, bool)
     same[1:-1] = k[1:] == k[:-1]
     order = order[same[:-1] | same[1:]]  # leaves of nodes with several
     if not len(order):
         return doc[:0], pos[:0]
-    order = order[np.lexsort((pos[order], doc[order], key[order]))]
-    k, d, q = key[order], doc[order], pos[order]
+    order = order[np.lexsort((pos[order], doc[order], anchor[order], label[order]))]
+    k, a, d, q = label[order], anchor[order], doc[order], pos[order]
     lead = np.ones(len(k), bool)
-    lead[1:] = k[1:] != k[:-1]
+    lead[1:] = (k[1:] != k[:-1]) | (a[1:] != a[:-1])
     node = np.flatnonzero(lead)[np.cumsum(lead) - 1]
     later = (d != d[node]) | (q != q[node])
     return d[later], q[later]
@@ -187,7 +188,7 @@ def _subtrees(window: int):
                 row = np.repeat(np.arange(len(n)), n)
                 at = np.arange(len(label))
                 if turns > 1:  # a longer prefix: the path's leading bits too
-                    at = np.flatnonzero(label.astype(np.uint64) * U(turns) >> U(32) == U(turn))
+                    at = np.flatnonzero((label >> U(32)) * U(turns) >> U(32) == U(turn))
                     row = row[at]
                 got.append((anchor[row], label[at], doc[row], pos[row] + at - head[row]))
             d, q = repeats(*(np.concatenate(x) for x in zip(*got, strict=True)))
