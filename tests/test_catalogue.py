@@ -54,6 +54,16 @@ def test_intervals(spark):
     assert grid[1]["cells"] == [16, 17] + [-1] * 14
 
 
+def test_blocks_of_all_scripts(spark):
+    """The list is whole, and texts beyond Latin get their own blocks."""
+    assert len(iv.BLOCKS) == 256 and all(a <= b for a, b, _ in iv.BLOCKS) and all(p[1] < q[0] for p, q in zip(iv.BLOCKS, iv.BLOCKS[1:], strict=False))
+    texts = {"Bengali": "\u0995\u0996", "Tamil": "\u0b95", "Bopomofo": "\u3105", "CJK Unified Ideographs Extension A": "\u3400", "Block Elements": "\u2588", "Supplemental Symbols and Pictographs": "\U0001f923"}
+    spans = spark.createDataFrame([(k, ord(c), ord(c)) for k, t in texts.items() for c in t], "id string, start int, end int")
+    cover = iv.block_coverage(spans, iv.blocks(spark), ["id"])
+    assert {(r["id"], r["block"], r["present"]) for r in cover.filter("present > 0").collect()} == {(k, k, len(t)) for k, t in texts.items()}
+    assert {(r["id"], r["block"]) for r in iv.first_block(cover, ["id"]).collect()} == {(k, k) for k in texts}
+
+
 def sequential(rows):
     """The rule as a loop over candidates against a growing kept set."""
     key = lambda r: (r["prio"], r["version"], r["glyphs"], r["coverage_n"], r["metadata"], -r["crc32"])
