@@ -1,18 +1,18 @@
-"""Substring dedup by prefix-partitioned suffix trees.
+"""Substring dedup by window fingerprints, in place of prefix-partitioned suffix trees.
 
 A *suffix* is a word position with at least ``window`` words of its document ahead; in the
-tree of all suffixes, the internal nodes at depth >= ``window`` are the repeats.  Building
-that tree in one piece is out of the question, so:
+tree of all suffixes, the internal nodes at depth >= ``window`` are the repeats.  No such
+tree is built; what the cut needs of it, the nodes at depth ``window``, comes from hashes:
 
-* Suffixes are grouped by a content-defined prefix, the least of the hashes of the
-  4-word strings inside the window.  Equal windows have equal prefixes, and neighbouring
-  suffixes mostly share theirs, so they travel as runs: one prefix, one place, and for
-  each suffix the fingerprint of its path down to depth ``window``.
+* Suffixes are grouped by what is called their prefix here, the least of the hashes of
+  the 4-word strings anywhere inside the window.  Equal windows have equal prefixes, and
+  neighbouring suffixes mostly share theirs, so they travel as runs: one prefix, one
+  place, and for each suffix the fingerprint of its path down to depth ``window``.
 * Each task first builds the subtrees of its own documents.  A suffix that comes later
   than an equal one of the same task is a repeat at once and is not sent, so a passage
   held by a third of all documents is sent once a task and not once a document.
 * The rest goes to groups by prefix.  A group is read bucket by bucket, and a bucket with
-  more than ``GROUP`` suffixes is split by lengthening the prefix until each part fits.
+  more than ``GROUP`` suffixes is split by the leading bits of the path's hash.
   In a part, suffixes with one path end in one node at depth ``window``; in a node with
   several leaves, all but the first leaf are repeats.
 * Overlapping repeats of a document unite to its maximal repeated passages, which are cut
