@@ -62,15 +62,82 @@ def substring_by_force(rows, window):
     return sorted(out)
 
 
-@pytest.mark.parametrize("slice_bytes", [200, 1 << 20])
-def test_substring_dedup(spark, frame, slice_bytes):
+@pytest.mark.parametrize("slice_bytes,hot,group", [(200, 500_000, 500_000), (1 << 20, 500_000, 60), (1 << 20, 3, 500_000), (200, 0, 60)])
+def test_substring_dedup(monkeypatch, frame, slice_bytes, hot, group):
+    """In one slice and many, with few and many groups, with prefixes as they are and lengthened."""
+    monkeypatch.setattr(substring, "GROUP", group)
     r = random.Random(3)
     shared = [" ".join(r.choice("abcdefgh") + str(r.randint(0, 9)) for _ in range(30)) for _ in range(4)]
     rows = [(k, " ".join(x for _ in range(r.randint(0, 4)) for x in (r.choice(shared), f"own{k} é{r.randint(0, 99)}\n"))) for k in range(60)]
     rows += [(100, "same " * 700), (101, None), (102, ""), (103, "one two"), (104, "x" * 100_000 + " " + shared[0])]
     r.shuffle(rows)
     df = frame(rows).repartition(5)
-    assert by_id(substring_dedup(df, window=20, keep_text=True, slice_bytes=slice_bytes)) == sorted(substring_by_force(rows, 20), key=repr)
+    assert by_id(substring_dedup(df, window=20, keep_text=True, slice_bytes=slice_bytes, hot=hot)) == sorted(substring_by_force(rows, 20), key=repr)
+
+
+@pytest.mark.parametrize("window", [1, 2, 3, 7, 8, 13])
+def test_nodes_are_the_repeated_strings(window):
+    r = np.random.default_rng(4)
+    size = r.integers(1, 40, 30)
+    word = r.integers(0, 3, size.sum())
+    left = np.concatenate([np.arange(n, 0, -1) for n in size])
+    at, node = substring.nodes(word, left, window)
+    strings = {}
+    for i in np.flatnonzero(left >= window):
+        strings.setdefault(tuple(word[i : i + window]), set()).add(int(i))
+    got = {}
+    for i, k in zip(at.tolist(), node.tolist(), strict=True):
+        got.setdefault(k, set()).add(i)
+    assert sorted(map(sorted, got.values())) == sorted(sorted(x) for x in strings.values() if len(x) > 1)
+
+
+def test_substring_hashes_alone_remove_nothing(monkeypatch):
+    """Windows of different tasks whose prefixes and paths all collide are told apart by their words."""
+    real = substring.gram_hashes
+    monkeypatch.setattr(substring, "gram_hashes", lambda h, n: np.full(len(real(h, n)), 7, np.uint64))
+    text = lambda k: " ".join(f"d{k}w{j}" for j in range(21))
+    tasks = [[(1, text(1))], [(2, text(2))], [(3, text(1))]]
+
+    class none:
+        value = np.zeros(0, np.uint64)
+
+    sent = [b for rows in tasks for b in substring._suffixes(20, 1, 1 << 20, none)(iter([pa.RecordBatch.from_pydict({"id": [i for i, _ in rows], "text": [t for _, t in rows]})]))]
+    cuts = [tuple(r.values()) for b in substring._subtrees(20)(iter(sent)) for r in b.to_pylist()]
+    assert cuts == [(3, 0, 21)]
+
+
+def test_substring_hot_string_in_distinct_windows(spark):
+    """300,000 documents share four words and no window: nothing goes, and no group grows with them."""
+    words = lambda a, b: F.concat_ws(" ", F.transform(F.sequence(F.lit(a), F.lit(b)), lambda j: F.concat(F.lit("w"), F.col("doc_id").cast("string"), F.lit("x"), j.cast("string"))))
+    docs = spark.range(300_000).withColumnRenamed("id", "doc_id").withColumn("text", F.concat_ws(" ", words(0, 9), F.lit("one hot four words"), words(10, 18)))
+    assert substring_dedup(docs).agg(F.sum("n_removed"), F.count(F.lit(1))).first()[:] == (0, 300_000)
+
+
+def test_substring_lengthened_prefix_spreads_a_hot_string():
+    """A string shorter than the window in every document: lengthened, its windows are dealt over the groups."""
+    rows = [(k, " ".join([f"a{k}x{j}" for j in range(7)] + [f"hot{j}" for j in range(18)] + [f"b{k}x{j}" for j in range(7)])) for k in range(500)]
+    batch = pa.RecordBatch.from_pydict({"id": [i for i, _ in rows], "text": [t for _, t in rows]})
+    census = {}
+    for b in substring._census(20, 1 << 20)(iter([batch])):
+        for r in b.to_pylist():
+            census[r["prefix"]] = census.get(r["prefix"], 0) + r["n"]
+    assert sum(census.values()) == 500 * 13
+
+    class hot:
+        value = np.sort(np.array([k for k, n in census.items() if n > 100], np.int64).view(np.uint64))
+
+    def largest(longer):
+        held = {}
+        for b in substring._suffixes(20, 64, 1 << 20, longer)(iter([batch])):
+            for r in b.to_pylist():
+                held[r["bucket"]] = held.get(r["bucket"], 0) + int(substring._get(r["blob"])[2].sum())
+        assert sum(held.values()) == 500 * 13
+        return max(held.values())
+
+    class none:
+        value = np.zeros(0, np.uint64)
+
+    assert len(hot.value) and largest(hot) < 250 < largest(none)
 
 
 def test_substring_edges(frame):
