@@ -7,7 +7,7 @@ built in parts that fit in memory:
 * **Partition.**  The prefix that deals a suffix to its group is the least (by hash) of the
   ``SEED``-word strings inside its window, in place of the first words: equal windows have
   equal prefixes, and neighbouring suffixes mostly share theirs, so they travel as one
-  passage (some 4 words a suffix, not ``window``).
+  passage (some 3.5 words a suffix, not ``window``).
 * **Variable length.**  A census counts the suffixes of every prefix over all documents
   before any is sent.  A prefix with more than ``HOT`` suffixes is lengthened to the whole
   window, so its suffixes are dealt one by one.  The number of groups follows from the
@@ -41,7 +41,7 @@ from lithos.llm.shared import settled
 from lithos.llm.textops import SPACED, U, gram_hashes, hash_spans, mix, slices, text_bytes, within, word_spans
 
 WINDOW = 20
-SEED = 8
+SEED = 6
 #: Most suffixes of a group, but for the luck of the draw; a group takes some 150 bytes a suffix.
 GROUP = 500_000
 #: A prefix with more suffixes is lengthened.
@@ -52,6 +52,7 @@ HOT_MOST = 2_000_000
 SLICE = 3 << 20
 #: Most suffixes a task remembers to recognise repeats of its own (24 bytes each).
 SEEN = 6_000_000
+_ZSTD = 3
 
 
 def least(g: np.ndarray, n: int) -> np.ndarray:
@@ -169,7 +170,7 @@ def _put(doc: np.ndarray, pos: np.ndarray, count: np.ndarray, text: bytes) -> by
     delta = (doc - base).astype(np.uint64)
     wide, far, small = bool(delta.max() >> U(32)), bool(pos.max() >= 1 << 16), len(text) < 256
     head = np.array([len(doc), base, wide + 2 * far + 4 * small, len(text)], dtype="<i8").tobytes()
-    body = text if small else pa.compress(text, codec="zstd", asbytes=True)
+    body = text if small else pa.Codec("zstd", compression_level=_ZSTD).compress(text, asbytes=True)
     return b"".join([head, delta.astype("<u8" if wide else "<u4").tobytes(), pos.astype("<u4" if far else "<u2").tobytes(), count.tobytes(), body])
 
 
@@ -352,17 +353,17 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     named = rows.filter(F.col("id").isNotNull())
-    census = named.select("text").mapInArrow(_census(window, slice_bytes), "prefix bigint, n bigint").groupBy("prefix").agg(F.sum("n").alias("n"))
+    counted = lambda: named.select("text").mapInArrow(_census(window, slice_bytes), "prefix bigint, n bigint").groupBy("prefix").agg(F.sum("n").alias("n"))
     # One row for all prefixes of common size, and one for each of the hot ones.
-    census = settled(census.groupBy(F.when(F.col("n") > hot, F.col("prefix")).alias("prefix")).agg(F.sum("n").alias("n")))
+    census = settled(counted().groupBy(F.when(F.col("n") > hot, F.col("prefix")).alias("prefix")).agg(F.sum("n").alias("n")))
     total = census.agg(F.sum("n")).first()[0] or 0
     found = census.filter("prefix is not null").orderBy(F.desc("n"), "prefix").limit(HOT_MOST).select("prefix").toArrow()
     longer = spark.sparkContext.broadcast(np.sort(np.array(found.column("prefix").to_pylist(), np.int64).view(np.uint64)))
     buckets = max(parts, -(-2 * total // GROUP))
     sent = named.mapInArrow(_suffixes(window, buckets, slice_bytes, longer), "bucket bigint, blob binary, doc bigint, lo bigint, hi bigint")
     grouped = sent.repartition(parts, "bucket").sortWithinPartitions("bucket")
-    cuts = grouped.mapInArrow(_subtrees(window), "doc bigint, lo bigint, hi bigint")
-    cuts = cuts.groupBy(F.col("doc").alias("id")).agg(F.collect_list(F.struct("lo", "hi")).alias("cuts"))
+    cuts = grouped.mapInArrow(_subtrees(window), "doc bigint, lo bigint, hi bigint").groupBy(F.col("doc").alias("id"))
+    cuts = settled(cuts.agg(F.collect_list(F.struct("lo", "hi")).alias("cuts")))  # the passages' shuffle ends before the texts' begins
     joined = rows.join(cuts.hint("shuffle_hash"), "id", "left").select("id", "text", F.coalesce("cuts", F.array().cast("array<struct<lo:bigint,hi:bigint>>")).alias("cuts"))
     schema = "id bigint, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept_text string" * keep_text
     return joined.mapInArrow(_cut(keep_text), schema).withColumnRenamed("id", id_col)
