@@ -147,20 +147,6 @@ def test_substring_edges(frame):
     assert substring_dedup(frame([])).count() == 0
 
 
-@pytest.mark.parametrize("group", [4, 2_000_000])
-def test_substring_compares_whole_paths(monkeypatch, group):
-    """Windows of different tasks under one prefix whose path hashes share their upper half are no repeats."""
-    real = substring.gram_hashes
-    half = np.uint64(2**32 - 1)
-    monkeypatch.setattr(substring, "gram_hashes", lambda h, n: np.full(len(h) - n + 1, 7, np.uint64) if n == substring.PREFIX else real(h, n) & half)
-    monkeypatch.setattr(substring, "GROUP", group)
-    text = lambda k: " ".join(f"d{k}w{j}" for j in range(21))
-    tasks = [[(1, text(1))], [(2, text(2))], [(3, text(1))]]
-    sent = [b for rows in tasks for b in substring._suffixes(20, 1, 1 << 20)(iter([pa.RecordBatch.from_pydict({"id": [i for i, _ in rows], "text": [t for _, t in rows]})]))]
-    cuts = [tuple(r.values()) for b in substring._subtrees(20)(iter(sent)) for r in b.to_pylist()]
-    assert cuts == [(3, 0, 21)]
-
-
 def test_sliding_least():
     x = np.random.default_rng(1).integers(0, 99, 50)
     for n in (1, 2, 5, 17):
