@@ -4,7 +4,8 @@ Rows are keyed by the SHA-256 of their normalised text *and* the text itself:
 
 1. the map-side aggregate removes copies within a task,
 2. the groups (digest, content, salt) are merged; the salt comes from the row's id, so
-   a group that holds a third of all rows is dealt over ``salts`` reducers,
+   a group that holds a third of all rows is dealt over ``salts`` reducers (by default
+   as many as a shuffle has partitions, which follow the table),
 3. the salt winners, at most ``salts`` rows a group, are combined globally.
 
 Content is part of the grouping key at each step, so equal digests alone never merge
@@ -20,9 +21,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lithos.llm.shared import settled
-
-SALTS = 32
+from lithos.llm.shared import salts_of, settled
 
 
 def normalised(text: Column) -> Column:
@@ -34,7 +33,7 @@ def exact_dedup(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
-    salts: int = SALTS,
+    salts: int | None = None,
     digest: Callable[[Column], Column] = lambda c: F.unhex(F.sha2(c, 256)),
 ) -> DataFrame:
     """One row per input row: id_col, keep_id, group_size, kept, text_sha256.
@@ -42,8 +41,10 @@ def exact_dedup(
     Of equal texts the smallest id stays.  Null and empty texts are equal.  Rows that
     repeat the kept id are all marked kept (ids are expected to be unique); rows with a
     null id count in group_size and are kept only when their group has no other id.
-    Other columns are ignored, whatever their names.  An empty table gives no rows.
+    A text of any length is one value of an aggregate's buffer.  Other columns are ignored,
+    whatever their names.  An empty table gives no rows.
     """
+    salts = salts or salts_of(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("norm"))
     rows = rows.withColumn("digest", digest(F.col("norm"))).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)))
 

@@ -13,9 +13,13 @@
    Collisions are counted over all coordinates; pairs at the match threshold go on and
    are confirmed on their full shingle sets.
 4. Links give components.  A long list whose entries all lie in one component is settled.
-   For the others an exact rest pass compares, block by block and inside the task, all
-   signatures of entries that are not yet connected; pairs at the threshold are confirmed
-   there and then, so a block pair gives a link for each two components it joins at most.
+   For the others an exact rest pass compares, block by block and inside the task, the
+   signatures of entries that are not yet connected.  Only entries with a partner at the
+   threshold come back with their texts; their pairs are confirmed inside the task, so a
+   block pair gives a link for each two components it joins at most.
+
+No key is joined whole: postings of frequent values, the entries of large clusters and the
+members of large components are dealt over salts.
 
 Thresholds leave five standard deviations: a pair at exactly the link similarity is
 missed about once in 10^6.  Every link is confirmed on full sets.
@@ -30,15 +34,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lithos.llm.shared import components, rejoin, settled, spread
+from lithos.llm.shared import components, joined, rejoin, salts_of, settled, spread
 from lithos.llm.textops import LOWER, SPACED, U, gram_hashes, hash_spans, mix, slices, text_bytes, word_spans
 
 SHINGLE = 5
 SIMILARITY = 80
 COORDINATES, FIRST = 128, 40
-SALTS = 32
-#: Lists up to SHORT give all pairs; longer ones are chunked by CHUNK; the rest pass compares BLOCK by BLOCK.
-SHORT, CHUNK, BLOCK = 8, 32, 512
+#: Lists up to SHORT give all pairs; longer ones are chunked by CHUNK; the rest pass compares BLOCK by BLOCK entries.
+SHORT, CHUNK, BLOCK = 8, 32, 4096
 
 _R = np.random.default_rng(20240607)
 _A = _R.integers(0, 2**32, COORDINATES, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
@@ -107,8 +110,8 @@ def _postings(coordinates: int):
 def shared_values(reps: DataFrame, coordinates: int) -> DataFrame:
     """(id, key, freq) of the values that at least two representatives hold."""
     posted = reps.select("id", "sketch").mapInArrow(_postings(coordinates), "id bigint, key bigint")
-    freq = posted.groupBy("key").agg(F.count(F.lit(1)).alias("freq")).filter("freq > 1")
-    return posted.join(freq, "key")
+    freq = settled(posted.groupBy("key").agg(F.count(F.lit(1)).alias("freq")).filter("freq > 1"))
+    return joined(posted, freq, "key", "freq", "id")
 
 
 def _briefs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,14 +151,34 @@ def _confirm(size: int, similarity: int):
     return run
 
 
+def _survivors(similarity: int):
+    """Entries of a block pair with a partner, in another component, at the match threshold."""
+    least = least_matches(COORDINATES, similarity)
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        comp, n, side = (group.column(k).to_numpy() for k in ("component", "n", "side"))
+        m = np.frombuffer(b"".join(group.column("brief").to_pylist()), np.uint8).reshape(-1, COORDINATES)
+        right = np.flatnonzero(side != 0)
+        flag = np.zeros(len(n), bool)
+        for i in np.flatnonzero(side != 1):  # side 2: the block meets itself
+            js = right[(comp[right] != comp[i]) & (100 * np.minimum(n[right], n[i]) >= similarity * np.maximum(n[right], n[i]))]
+            js = js[np.count_nonzero(m[js] == m[i], axis=1) >= least]
+            flag[js] = True
+            flag[i] |= len(js) > 0
+        return group.drop_columns(["n", "brief"]).filter(pa.array(flag))
+
+    return run
+
+
 def _blocks(size: int, similarity: int):
-    """Links of one block pair, confirmed on full sets; entries that are connected already are not compared."""
+    """Links of one block pair's survivors, confirmed on full sets; entries that are connected already are not compared."""
     least = least_matches(COORDINATES, similarity)
 
     def run(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
         ids, comp, n, side = (group.column(k).to_numpy() for k in ("id", "component", "n", "side"))
-        m = _matrix(group.column("sketch").combine_chunks())
+        m = np.frombuffer(b"".join(group.column("brief").to_pylist()), np.uint8).reshape(-1, COORDINATES)
         sets, at = shingle_sets(group.column("text").combine_chunks(), size)
         parent = np.unique(comp, return_inverse=True)[1].astype(np.int64)
         root_of = np.arange(parent.max() + 1)  # union-find over components; parent: entry to component
@@ -165,11 +188,11 @@ def _blocks(size: int, similarity: int):
                 root_of[x] = x = root_of[root_of[x]]
             return x
 
-        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)  # 2: the block meets itself
+        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
         found: list[tuple[int, int]] = []
         for i in left:
             js = right[(parent[right] != parent[i]) & (100 * np.minimum(n[right], n[i]) >= similarity * np.maximum(n[right], n[i]))]
-            js = js[(m[js] == m[i]).sum(axis=1) >= least]
+            js = js[np.count_nonzero(m[js] == m[i], axis=1) >= least]
             x = sets[at[i] : at[i + 1]]
             for j in js:
                 a, b = root(int(parent[i])), root(int(parent[j]))
@@ -193,12 +216,16 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     of ``shingle``-word strings (of the whole sequence, for fewer words), lower-cased A-Z.
     Null, empty and wordless texts, and rows with a null id, are linked with nothing and
     kept.  Ids are integers and expected to be unique; rows repeating an id share a fate.
+    Of equal or linked texts the smallest id stays.  A text of any length is one unit of a
+    task's memory.  Columns but the two named are ignored, whatever their names; an empty
+    table gives no rows.
     """
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     sketch = settled(rows.mapInArrow(_sketch(shingle), "id bigint, n bigint, set_a bigint, set_b bigint, sketch binary"))
     keys = ["set_a", "set_b", "n"]
     linked = sketch.filter("n > 0 and id is not null")
-    salted, classes = spread(linked.drop("sketch"), keys, "id", SALTS)
+    salts = salts_of(docs.sparkSession)
+    salted, classes = spread(linked.drop("sketch"), keys, "id", salts)
 
     reps = linked.join(classes.select(F.col("least").alias("id")), "id", "left_semi").select("id", "n", "sketch").dropDuplicates(["id"])
     first = shared_values(reps, FIRST).groupBy("id").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") >= least_matches(FIRST, similarity))
@@ -237,20 +264,23 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # The rest: long lists over several components.
     if top > SHORT:
         labelled = long.join(found, long["id"] == found["node"], "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-        open_lists = labelled.groupBy("key").agg(F.min("id").alias("head"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
+        labelled = labelled.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)))
+        merged = labelled.groupBy("key", "salt").agg(F.min("id").alias("head"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+        open_lists = merged.groupBy("key").agg(F.min("head").alias("head"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.collect_list("salt").alias("salts")).filter("lo < hi")
         # Lists that share entries become one cluster: each pair is compared once, not once a list.
-        members = settled(labelled.join(open_lists.select("key", "head"), "key").select("id", "component", "head").distinct())
+        members = settled(rejoin(labelled, open_lists.select("key", "head", "salts"), ["key"]).select("id", "component", "head").distinct())
         clusters = components(members.select(F.col("head").alias("a"), F.col("id").alias("b")))
         own = members.select("id", "component").distinct().join(clusters.select(F.col("node").alias("id"), F.col("component").alias("cluster")), "id")
-        sizes = own.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
-        own = own.join(sizes, "cluster").withColumn("blocks", F.ceil(F.col("size") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
-        dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-        dealt = dealt.select(
+        own, sizes = spread(own, ["cluster"], "id", salts)
+        own = rejoin(own, sizes.select("cluster", "size", "salts"), ["cluster"]).join(briefs, "id")
+        own = own.withColumn("blocks", F.ceil(F.col("size") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+        dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))).select(
             "id", "component", "cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-            F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1).alias("side"),
+            F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1).alias("side"), "n", "brief",
         )
-        dealt = dealt.join(entries.select("id", "n", "sketch"), "id").join(texts, "id")
-        more = settled(dealt.groupBy("cluster", "i", "j").applyInArrow(_blocks(shingle, similarity), "a bigint, b bigint"))
+        left = settled(dealt.groupBy("cluster", "i", "j").applyInArrow(_survivors(similarity), "id bigint, component bigint, cluster bigint, i bigint, j bigint, side int"))
+        more = left.join(briefs, "id").join(texts, "id").groupBy("cluster", "i", "j").applyInArrow(_blocks(shingle, similarity), "a bigint, b bigint")
+        more = settled(more)
         if not more.isEmpty():
             found = settled(components(links.unionByName(more)))
 

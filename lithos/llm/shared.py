@@ -35,6 +35,11 @@ def settled(df: DataFrame) -> DataFrame:
     return kept
 
 
+def salts_of(spark: SparkSession) -> int:
+    """Parts that a hot group is dealt over: as many as a shuffle has partitions, so they follow the cluster's setting for the data."""
+    return max(32, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def spread(rows: DataFrame, keys: list[str], id_col: str, salts: int) -> tuple[DataFrame, DataFrame]:
     """Groups of equal keys, found without sending a hot group to one task.
 
@@ -52,6 +57,24 @@ def rejoin(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(groups.withColumn("salt", F.explode("salts")).drop("salts"), [*keys, "salt"])
 
 
+#: Rows of a key beyond which joined() deals them over salts, and the most keys it broadcasts for that.
+HOT_ROWS, HOT_KEYS = 1_000, 1_000_000
+
+
+def joined(rows: DataFrame, counts: DataFrame, key: str, n: str, id_col: str) -> DataFrame:
+    """rows joined to the settled counts (one row a key; n: how many of rows have it), hot keys dealt over salts.
+
+    The bound on a key's rows rises with the table only so that at most HOT_KEYS keys pass it.
+    """
+    salts = salts_of(rows.sparkSession)
+    bound = max(HOT_ROWS, (counts.agg(F.sum(n)).first()[0] or 0) // HOT_KEYS)
+    hot = counts.filter(F.col(n) > bound).select(key, F.lit(True).alias("_hot"))  # at most HOT_KEYS rows
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(id_col), F.lit(salts))).otherwise(F.lit(0).cast("bigint"))
+    rows = rows.join(F.broadcast(hot), key, "left").withColumn("_salt", salt).drop("_hot")
+    places = F.when(F.col(n) > bound, F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))).otherwise(F.array(F.lit(0).cast("bigint")))
+    return rows.join(counts.withColumn("_salt", F.explode(places)), [key, "_salt"]).drop("_salt")
+
+
 def drawn(df: DataFrame, draw, most: int) -> DataFrame:
     """The ``most`` rows with the least draws (a 64-bit hash Column).
 
@@ -86,27 +109,35 @@ def contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["u", "v"])
 
 
+def least_partner(pairs: DataFrame) -> DataFrame:
+    """(u, v, m): each pair with the least v of its u; the pairs of a hot u are dealt over salts."""
+    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(salts_of(pairs.sparkSession))))
+    merged = salted.groupBy("u", "salt").agg(F.min("v").alias("m"))
+    least = merged.groupBy("u").agg(F.min("m").alias("m"), F.collect_list("salt").alias("salts"))
+    return salted.join(least.select("u", "m", F.explode("salts").alias("salt")), ["u", "salt"]).drop("salt")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of the nodes of undirected edges (a, b); a component is its smallest node.
 
     Alternates large-star and small-star steps, whose edge count never exceeds the input's,
     until the edges no longer change.  Between them each task contracts its own edges, so
     that edges held by one task need no rounds among themselves; each round is settled.
+    What a single task contracts is final.
     """
     e = settled(edges.select(F.greatest("a", "b").cast("bigint").alias("u"), F.least("a", "b").cast("bigint").alias("v")).filter("u <> v").distinct())
     parts = 1 + e.count() // EDGES_PER_PART  # few edges in few files; the count never grows
     e = settled(e.coalesce(parts).mapInArrow(contracted, "u bigint, v bigint"))
     state = None
     while True:
-        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(now) == state or now[0] == 0:
+        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first() if parts > 1 else None
+        if now is None or tuple(now) == state or now[0] == 0:
             return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
                 e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
             )
         state = tuple(now)
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(least.select("u", F.col("m").alias("v")))
+        both = least_partner(e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))))
+        large = both.filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
+        small = least_partner(large)
+        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(small.select("u", F.col("m").alias("v")))
         e = settled(small.distinct().coalesce(parts).mapInArrow(contracted, "u bigint, v bigint"))
