@@ -1,41 +1,48 @@
-"""Benchmark decontamination with a generalised suffix automaton.
+"""Benchmark decontamination with generalised suffix automata.
 
-The normalised test items are inserted into one suffix automaton.  Training text is
-streamed through it and the longest match ending at each word is tracked; wherever that
-length reaches a window (13 words, or a whole shorter item) the window's words are hit
-and the items holding it are noted.
+1. Items become word hashes.  A bitmap of the hashes of their windows (13 consecutive words,
+   or a whole shorter item), of a fixed largest size, goes to all tasks.
+2. One pass over the documents marks the windows that the bitmap knows.  Consecutive ones
+   unite to passages; whatever lies outside of them can lie in no window of an item.
+3. Items are dealt into blocks of at most some ``BLOCK_WORDS`` words (a longer item is cut
+   into overlapping parts), and passages go to every block.  A task inserts its block's
+   items into one suffix automaton, streams the passages through it and tracks the longest
+   match ending at each word; wherever that length reaches a window, its words are hit and
+   the items holding it are noted.  So false alarms of the bitmap end here.
+4. Spans and items unite by document.  ``kept_text`` is the text without the spans.
 
-Streaming a Python automaton over every word of the corpus would be slow, so a
-vectorised pass first marks the words and word pairs that occur in any item.  A match of
-length L is a run of L words linked by L-1 such pairs, so only runs of at least the
-shortest window reach the automaton; all other words would leave it at length < L.
-
-The item table is the stated query set.  It is dealt into blocks of at most
-``BLOCK_WORDS`` words, so the automaton sent to the executors has a fixed size bound;
-each block passes over all documents and the per-document results are combined.
+Nothing depends on the number of blocks: the documents are read once, items never pass
+through the driver, and passages are dealt by document, so a hot one loads no single task.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lithos.llm.textops import ALNUM, LOWER, hash_spans, slices, text_bytes, word_spans
+from lithos.llm.shared import settled
+from lithos.llm.textops import ALNUM, LOWER, U, gram_hashes, hash_spans, mix, slices, text_bytes, word_spans
 
 WINDOW = 13
-#: Words of items in one automaton; also the bound on what is broadcast (some 700 bytes a word).
+#: Words of items in one automaton (some 700 bytes a word).
 BLOCK_WORDS = 100_000
+#: Words of passages that one task streams through an automaton, about.
+PASSAGE_WORDS = 1_000_000
+#: Least and most bits of the bitmap of windows, as powers of two (16 MB at most).
+LEAST_BITS, MOST_BITS = 20, 27
+_CHUNK = 15  # bits of a place within a chunk of the bitmap
 
 
 class Automaton:
     """Suffix automaton over the word hashes of a block of items."""
 
-    def __init__(self, items: list[tuple[str, list[int]]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[str | None, list[int]]], window: int = WINDOW):
         self.window = window
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
@@ -48,16 +55,16 @@ class Automaton:
                 last = self._extend(last, c)
                 path.append(last)
             paths.append(path)
-        ends = [set() for _ in self.next]
+        # Items are kept where strings as long as a window end; shorter strings matter only as whole items.
+        ends: dict[int, set[int]] = {}
         for k, path in enumerate(paths):
             for state in path:
-                while state > 0 and k not in ends[state]:
+                while state > 0 and self.length[state] >= window and k not in ends.setdefault(state, set()):
                     ends[state].add(k)
                     state = self.link[state]
             if 0 < len(path) < window:
                 whole.setdefault(path[-1], {}).setdefault(len(path), set()).add(k)
-        #: For the one state on each suffix path whose strings include length `window`.
-        self.items = [sorted(e) for e in ends]
+        self.items = {v: sorted(e) for v, e in ends.items()}
         self.whole = whole
         #: Nearest state with whole short items, itself included.
         self.short = [-1] * len(self.next)
@@ -66,15 +73,6 @@ class Automaton:
                 self.short[state] = state
             elif self.link[state] >= 0:
                 self.short[state] = self.short[self.link[state]]
-        self.least = min([window, *(len(w) for _, w in items if w)])
-        words = sorted({c for _, w in items for c in w})
-        pairs = {(a, b) for _, w in items for a, b in zip(w, w[1:], strict=False)}
-        self.words = np.array(words, dtype=np.uint64)
-        rank = {c: i for i, c in enumerate(words)}
-        self.pairs = np.array(sorted(rank[a] * len(words) + rank[b] for a, b in pairs), dtype=np.int64)
-        #: A bitmap over 20 hash bits rules out most words before the binary search.
-        self.maybe = np.zeros(1 << 20, dtype=bool)
-        self.maybe[self.words >> np.uint64(44)] = True
 
     def _extend(self, last: int, c: int) -> int:
         nxt, link, length = self.next, self.link, self.length
@@ -106,31 +104,6 @@ class Automaton:
             p = link[p]
         return new
 
-    def runs(self, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """[from, to) of the runs of item words, linked by item pairs, that can hold a window."""
-        if not len(self.words) or not len(h):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        known = np.flatnonzero(self.maybe[h >> np.uint64(44)])
-        at = np.minimum(np.searchsorted(self.words, h[known]), len(self.words) - 1)
-        ok = self.words[at] == h[known]
-        known, at = known[ok], at[ok]
-        if not len(known):
-            return known, known
-        joined = known[1:] == known[:-1] + 1
-        if len(self.pairs):
-            code = at[:-1] * len(self.words) + at[1:]
-            there = np.minimum(np.searchsorted(self.pairs, code), len(self.pairs) - 1)
-            joined &= self.pairs[there] == code
-        else:
-            joined &= False
-        starts = np.zeros(len(h) + 1, dtype=bool)
-        starts[first] = True  # a document's first word starts a run
-        joined &= ~starts[known[1:]]
-        edge = np.flatnonzero(np.concatenate([[True], ~joined]))
-        to = np.concatenate([edge[1:], [len(known)]])
-        long = to - edge >= self.least
-        return known[edge[long]], known[to[long] - 1] + 1
-
     def stream(self, h: list[int]) -> Iterator[tuple[int, int, list[int]]]:
         """(position, window length, items) of every window that ends at a position."""
         nxt, link, length = self.next, self.link, self.length
@@ -157,58 +130,109 @@ class Automaton:
                 v = self.short[link[v]]
 
 
-def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_words: int = BLOCK_WORDS):
-    """Blocks of (item, word hashes), streamed to the driver one partition at a time."""
-    block, size = [], 0
-    items = benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t"))
-    for row in items.toLocalIterator():
-        data, off = text_bytes(pa.array([row["t"]], pa.string()))
-        data = LOWER[data]
-        start, end, _ = word_spans(data, off, ALNUM)
-        words = hash_spans(data, start, end).tolist()
-        if row["i"] is None or not words:
-            continue
-        if block and size + len(words) > block_words:
-            yield block
-            block, size = [], 0
-        block.append((row["i"], words))
-        size += len(words)
-    yield block
-
-
-def _scan(automaton):
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a = automaton.value
-        for batch in slices(batches, "text"):
-            data, off = text_bytes(batch.column("text"))
+def _parts(window: int, part_words: int):
+    """Items to parts of their word hashes: (item, words), every window in at least one part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in slices(batches, "text"):
+            data, off = text_bytes(rows.column("text"))
             data = LOWER[data]
             start, end, first = word_spans(data, off, ALNUM)
             h = hash_spans(data, start, end)
-            n_hit = np.zeros(batch.num_rows, np.int64)
-            items: dict[int, set[str]] = {}
-            spans: dict[int, list[list[int]]] = {}
-            for lo, hi in zip(*(x.tolist() for x in a.runs(h, first)), strict=True):
-                doc = int(np.searchsorted(first, lo, side="right")) - 1
-                hit = np.zeros(hi - lo, dtype=bool)
-                for i, n, ids in a.stream(h[lo:hi].tolist()):
+            owner, words = [], []
+            for k, (lo, hi) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
+                while lo < hi:
+                    to = min(hi, lo + part_words)
+                    owner.append(k), words.append(h[lo:to].tobytes())
+                    lo = hi if to == hi else to - window + 1
+            yield pa.RecordBatch.from_arrays([rows.column("item").take(pa.array(owner, pa.int64())), pa.array(words, pa.binary())], names=["item", "words"])
+
+    return run
+
+
+def window_hashes(h: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of all strings of n words; those of different lengths differ."""
+    return mix(gram_hashes(h, n) ^ U(n))
+
+
+def _slots(window: int, bits: int):
+    """The bitmap's places that the windows of parts take, by chunk."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for blob in b.column("words").to_pylist():
+                h = np.frombuffer(blob, np.uint64)
+                slot = np.unique(window_hashes(h, min(window, len(h))) >> U(64 - bits)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(slot >> _CHUNK, pa.int32()), pa.array(slot & ((1 << _CHUNK) - 1), pa.int32())], names=["chunk", "place"])
+
+    return run
+
+
+def _packed(rows: pd.DataFrame) -> pd.DataFrame:
+    bits = np.zeros(1 << _CHUNK, bool)
+    bits[rows["place"].to_numpy()] = True
+    return pd.DataFrame({"chunk": [rows["chunk"].iloc[0]], "bits": [np.packbits(bits).tobytes()]})
+
+
+def _passages(known, lengths: list[int], bits: int, keep_text: bool):
+    """Documents to (row, id, n_words, passages); row numbers the rows, whatever their ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap, row = known.value, TaskContext.get().partitionId() << 40
+        for rows in slices(batches, "text"):
+            data, off = text_bytes(rows.column("text"))
+            start, end, first = word_spans(LOWER[data], off, ALNUM)
+            h = hash_spans(LOWER[data], start, end)
+            owner = np.repeat(np.arange(rows.num_rows), np.diff(first))
+            edge = np.zeros(len(h) + 1, np.int32)
+            for n in lengths:
+                if len(h) >= n:
+                    at = np.flatnonzero(owner[: len(h) - n + 1] == owner[n - 1 :])
+                    slot = window_hashes(h, n)[at] >> U(64 - bits)
+                    at = at[(bitmap[slot >> U(3)] >> (U(7) - (slot & U(7))).astype(np.uint8)) & 1 == 1]
+                    np.add.at(edge, at, 1)
+                    np.add.at(edge, at + n, -1)
+            inside = np.cumsum(edge[:-1]) > 0
+            begin = np.flatnonzero(inside & np.concatenate([[True], ~inside[:-1] | (owner[1:] != owner[:-1])])) if len(h) else first[:0]
+            stop = np.flatnonzero(inside & np.concatenate([~inside[1:] | (owner[1:] != owner[:-1]), [True]])) + 1 if len(h) else first[:0]
+            found: list[list] = [[] for _ in range(rows.num_rows)]
+            for a, b in zip(begin.tolist(), stop.tolist(), strict=True):
+                k = int(owner[a])
+                found[k].append({"at": a - int(first[k]), "words": h[a:b].tobytes()})
+            cols = [pa.array(np.arange(row, row + rows.num_rows)), rows.column("id"), pa.array(np.diff(first), pa.int64()), pa.array(found, pa.list_(pa.struct([("at", pa.int64()), ("words", pa.binary())])))]
+            yield pa.RecordBatch.from_arrays([*cols, *([rows.column("text")] if keep_text else [])], names=["row", "id", "n_words", "passages", *(["text"] if keep_text else [])])
+            row += rows.num_rows
+
+    return run
+
+
+def _stream(window: int):
+    """Items, then passages of each (block, deal): (row, spans, items, unnamed) of what is found."""
+    kind = pa.list_(pa.list_(pa.int64()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, items, automaton = None, [], None
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                if (r["block"], r["deal"]) != key:
+                    key, items, automaton = (r["block"], r["deal"]), [], None
+                if r["row"] is None:
+                    items.append((r["item"], np.frombuffer(r["words"], np.uint64).tolist()))
+                    continue
+                automaton = automaton or Automaton(items, window)
+                h = np.frombuffer(r["words"], np.uint64).tolist()
+                hit, names = np.zeros(len(h), bool), set()
+                for i, n, ids in automaton.stream(h):
                     hit[i - n + 1 : i + 1] = True
-                    items.setdefault(doc, set()).update(a.ids[k] for k in ids)
-                if hit.any():
-                    n_hit[doc] += int(hit.sum())
-                    edge = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]))) + lo - int(first[doc])
-                    spans.setdefault(doc, []).extend(edge.reshape(-1, 2).tolist())
-            rows = range(batch.num_rows)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("id"),
-                    pa.array(np.diff(first), pa.int64()),
-                    pa.array([spans.get(k, []) for k in rows], pa.list_(pa.list_(pa.int64()))),
-                    pa.array([sorted(items.get(k, ())) for k in rows], pa.list_(pa.string())),
-                ],
-                names=["id", "n_words", "spans", "items"],
-            )
-
-    return scan
+                    names.update(automaton.ids[k] for k in ids)
+                if names:
+                    edge = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]))) + r["at"]
+                    out.append((r["row"], edge.reshape(-1, 2).tolist(), sorted(names - {None}), None in names))
+            cols = list(zip(*out, strict=True)) or [(), (), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), kind, pa.list_(pa.string()), pa.bool_()), strict=True)], names=["row", "spans", "items", "unnamed"])
+
+    return run
 
 
 def decontaminate(
@@ -221,53 +245,86 @@ def decontaminate(
     window: int = WINDOW,
     coverage: tuple[int, int] = (1, 20),
     block_words: int = BLOCK_WORDS,
+    keep_text: bool = False,
 ) -> DataFrame:
-    """One row per document: id_col, n_words, n_hit, n_items, items_sha256, contaminated, spans, items.
+    """One row per row of docs: id_col, n_words, n_hit, n_items, items_sha256, contaminated, spans, items
+    and, if asked for, kept_text: the text without the spans and what lies between their words.
 
-    ``spans`` are [from, to) word ranges inside occurrences of item windows; ``remove_spans``
-    cuts them out.  Null or wordless texts have no words and are never contaminated; items
-    without words or without an id match nothing; items that repeat a text are all named.
-    Ids of documents may repeat with one block of items; with several they must be unique.
-    An empty item table marks nothing, an empty document table gives no rows.
+    ``spans`` are the [from, to) word ranges inside occurrences of item windows.  Null or
+    wordless texts have no words and are never contaminated; their kept_text is the text.
+    Ids of documents may repeat or be null: rows are judged one by one.  Items without words
+    match nothing; items that repeat a text are all named, rows that repeat an item id are
+    one item.  An item with a null id hits words and counts as one item more, but has no
+    name to list.  A text of any length is one unit of a task's memory.  Other columns are
+    ignored, whatever their names.  No items mark nothing; no documents give no rows.
     """
     spark = docs.sparkSession
+    part_words = max(2 * window, block_words // 8)
+    texts = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).cast("string").alias("text"))
+    parts = settled(texts.mapInArrow(_parts(window, part_words), "item string, words binary"))
+    n = F.octet_length("words") / 8
+    total, short = parts.agg(F.coalesce(F.sum(n), F.lit(0)).cast("bigint"), F.collect_set(F.when(n < window, n.cast("int")))).first()  # at most window - 1 lengths
+    bits = min(MOST_BITS, max(LEAST_BITS, (64 * total).bit_length()))
+    slots = parts.mapInArrow(_slots(window, bits), "chunk int, place int").distinct()
+    bitmap = np.zeros(1 << (bits - 3), np.uint8)
+    for r in slots.groupBy("chunk").applyInPandas(_packed, "chunk int, bits binary").toLocalIterator():  # 4 KB each, 16 MB in all
+        bitmap[r["chunk"] << (_CHUNK - 3) : (r["chunk"] + 1) << (_CHUNK - 3)] = np.frombuffer(r["bits"], np.uint8)
+    known = spark.sparkContext.broadcast(bitmap)
+
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    kind = rows.schema["id"].dataType.simpleString()
-    schema = f"id {kind}, n_words bigint, spans array<array<bigint>>, items array<string>"
-    found = None
-    blocks = 0
-    for block in item_blocks(benchmark, item_col, item_text_col, block_words):
-        automaton = spark.sparkContext.broadcast(Automaton(block, window))
-        part = rows.mapInArrow(_scan(automaton), schema)
-        found = part if found is None else found.unionByName(part)
-        blocks += 1
-    if blocks > 1:
-        found = found.groupBy("id").agg(
-            F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items")
-        )
+    schema = f"row bigint, id {rows.schema['id'].dataType.simpleString()}, n_words bigint, passages array<struct<at:bigint,words:binary>>" + ", text string" * keep_text
+    lengths = sorted({*short, window}) if total else []
+    marked = settled(rows.mapInArrow(_passages(known, lengths, bits, keep_text), schema))
+    own = ["row", "id", "n_words", *(["text"] if keep_text else [])]
+    passages = marked.filter(F.size("passages") > 0).select("row", F.inline("passages"))
+
+    blocks = max(1, -(-2 * total // block_words))
+    deals = 1 + (passages.agg(F.sum(F.octet_length("words"))).first()[0] or 0) // (8 * PASSAGE_WORDS)
+    item_rows = parts.select(F.pmod(F.xxhash64("item", "words"), F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(deals - 1).cast("bigint"))).alias("deal"), F.lit(None).cast("bigint").alias("row"), F.lit(None).cast("bigint").alias("at"), "words", "item")
+    passage_rows = passages.select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))).alias("block"), F.pmod(F.xxhash64("row", "at"), F.lit(deals)).alias("deal"), "row", "at", "words", F.lit(None).cast("string").alias("item"))
+    dealt = item_rows.unionByName(passage_rows).repartition(max(1, blocks * deals), "block", "deal").sortWithinPartitions("block", "deal", F.col("row").isNotNull())
+    hits = dealt.mapInArrow(_stream(window), "row bigint, spans array<array<bigint>>, items array<string>, unnamed boolean")
+    hits = hits.groupBy("row").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.max("unnamed").alias("unnamed"))
     merged = F.aggregate(
-        F.array_sort("spans"),
+        "spans",
         F.expr("cast(array() as array<array<bigint>>)"),
         lambda acc, s: F.when(
             (F.size(acc) > 0) & (F.element_at(acc, -1)[1] >= s[0]),
             F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.array(F.element_at(acc, -1)[0], F.greatest(F.element_at(acc, -1)[1], s[1])))),
         ).otherwise(F.concat(acc, F.array(s))),
     )
-    found = found.withColumn("spans", F.when(F.size("spans") > 1, merged).otherwise(F.col("spans")))
-    found = found.withColumn("items", F.array_sort(F.array_distinct("items")))
+    hits = hits.withColumn("spans", F.when(F.size("spans") > 1, merged).otherwise(F.col("spans")))
+    clean = marked.filter(F.size("passages") == 0).select(
+        *own, F.expr("cast(array() as array<array<bigint>>)").alias("spans"), F.expr("cast(array() as array<string>)").alias("items"), F.lit(False).alias("unnamed")
+    )
+    none = {"spans": "array<array<bigint>>", "items": "array<string>"}
+    found = marked.filter(F.size("passages") > 0).select(*own).join(hits, "row", "left")
+    found = found.select(*own, *[F.coalesce(k, F.expr(f"cast(array() as {t})")).alias(k) for k, t in none.items()], F.coalesce("unnamed", F.lit(False)).alias("unnamed")).unionByName(clean)
     n_hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda acc, s: acc + s[1] - s[0])
+    if keep_text:
+        kind = f"id {rows.schema['id'].dataType.simpleString()}, n_words bigint, text string, spans array<array<bigint>>, items array<string>, unnamed boolean"
+        found = found.drop("row").mapInArrow(_without, kind)
     return found.select(
         F.col("id").alias(id_col),
         "n_words",
         n_hit.alias("n_hit"),
-        F.size("items").cast("bigint").alias("n_items"),
+        (F.size("items") + F.col("unnamed").cast("int")).cast("bigint").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         ((n_hit > 0) & (n_hit * coverage[1] >= F.col("n_words") * coverage[0])).alias("contaminated"),
         "spans",
         "items",
+        *([F.col("text").alias("kept_text")] if keep_text else []),
     )
 
 
+def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows whose text has lost its spans."""
+    for rows in slices(batches, "text"):
+        spans = rows.column("spans").to_pylist()
+        texts = [remove_spans(t, x) if x else t for t, x in zip(rows.column("text").to_pylist(), spans, strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if k == "text" else rows.column(k) for k in rows.schema.names], names=rows.schema.names)
+
+
 def remove_spans(text: str, spans: list[tuple[int, int]]) -> str:
     """The text without the words of the given [from, to) word ranges; what is between them goes too."""
     raw = text.encode()
