@@ -68,24 +68,51 @@ def contaminated_by_force(docs, items, window=13):
     return sorted(rows, key=repr)
 
 
-@pytest.mark.parametrize("block_words", [60, 10**6])
-def test_decontaminate(spark, frame, block_words):
+@pytest.mark.parametrize("block_words", [3, 60, 10**6])
+def test_decontaminate(spark, frame, monkeypatch, block_words):
     """Few distinct words, so that partial, overlapping and short matches abound; in one block and in several."""
+    monkeypatch.setattr("lithos.llm.decontaminate.PASSAGE_WORDS", 20_000)
     r = random.Random(4)
     text = lambda n: " ".join(r.choice(["a", "b", "C", "d1", "é"]) for _ in range(n))
-    items = [(k, text(r.choice([0, 1, 3, 8, 14, 20]) if k < 8 else 16)) for k in range(14)] + [(50, None), (51, "..."), (52, "b, a; b! a")]
-    if block_words == 10**6:
-        items = [x for x in items if x[0] not in (0,)] + [(53, items[9][1]), (2, "zz")]
-    docs = [(k, text(r.randint(0, 60)) + " " + (items[r.randint(8, 13)][1] or "")) for k in range(60)] + [(100, None), (101, ""), (102, "x" * 50_000)]
-    bench = spark.createDataFrame(items, "item_id long, text string")
-    got = decontaminate(frame(docs), bench, block_words=block_words).drop("spans", "items")
-    assert sorted((tuple(x) for x in got.collect()), key=repr) == contaminated_by_force(docs, items)
+    items = [(k, text(r.choice([1, 3, 8, 14, 20]) if k < 8 else 16)) for k in range(14)] + [(20, text(90)), (50, None), (51, "..."), (52, "b, a; b! a")]
+    items += [(53, items[9][1]), (2, "zz")]
+    docs = [(k, text(r.randint(0, 60)) + " " + (items[r.randint(8, 13)][1] or "")) for k in range(60)] + [(100, None), (101, ""), (102, "x" * 50_000), (103, items[14][1]), (70, "a a"), (70, "a a"), (None, "zz b"), (104, "w " * 30_000 + items[8][1])]
+    bench = spark.createDataFrame(items, "item_id long, text string").withColumn("row", F.lit("clash"))
+    got = decontaminate(frame(docs), bench, block_words=block_words, keep_text=True).collect()
+    assert sorted((tuple(x)[:6] for x in got), key=repr) == contaminated_by_force(docs, items)
+    texts = {}
+    for i, t in docs:
+        texts.setdefault(i, t)
+    assert all(g.kept_text == (remove_spans(texts[g.doc_id], g.spans) if g.spans else texts[g.doc_id]) for g in got)
+    assert any(g.spans for g in got) and all(sum(b - a for a, b in g.spans) == g.n_hit for g in got)
+
+
+@pytest.mark.parametrize("block_words", [3, 100_000])
+def test_decontaminate_equals_its_sql(spark, frame, block_words):
+    """With items without an id, repeated items and items longer than a block."""
+    import duckdb
+    import pandas as pd
+
+    from lithos.llm.queries import ORACLES
+
+    r = random.Random(9)
+    text = lambda n: " ".join(r.choice(["a", "b", "C", "d1", "é"]) for _ in range(n))
+    items = [(None, "alpha beta"), (None, text(15)), (3, text(14)), (3, text(13)), (4, text(80)), (5, None), (10, "alpha beta"), (11, text(13))]
+    docs = [(k, text(r.randint(0, 40)) + " " + (items[r.randint(1, 7)][1] or "")) for k in range(50)] + [(100, "alpha beta"), (101, None), (102, "x alpha beta y")]
+    got = decontaminate(frame(docs), spark.createDataFrame(items, "item_id long, text string"), block_words=block_words).drop("spans", "items")
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(docs, columns=["doc_id", "text"]))
+    con.register("benchmark", pd.DataFrame({"item_id": pd.array([i for i, _ in items], "Int64"), "text": [t for _, t in items]}))
+    want = con.execute(ORACLES["op3_benchmark_decontamination"]).fetchall()
+    assert sorted(tuple(x) for x in got.collect()) == sorted(want)
+    assert dict((x[0], x[2]) for x in want)[102] == 2
 
 
 def test_decontaminate_edges(spark, frame):
     none = spark.createDataFrame([], "item_id long, text string")
     assert [tuple(r)[1:4] for r in decontaminate(frame([(1, "a b")]), none).collect()] == [(2, 0, 0)]
     assert decontaminate(frame([]), none).count() == 0
+    assert decontaminate(frame([]), spark.createDataFrame([(1, "a")], "item_id long, text string")).count() == 0
     assert remove_spans("One, two three. Four", [(1, 3)]) == "One, . Four"
 
 
@@ -142,9 +169,15 @@ def test_tokens_equal_the_tokenizers_file():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    texts = ["", "Hello  world's 'quoted' 12ab!!\n\n x", "naïve été Ñandú", "日本   x", "<|endoftext|> a", "a\x1cb\x85c", "  lead", "tail  ", "x" * 3000, "²½ × ÷"]
-    for x in texts:
-        assert encoder().encode(x).tolist() == t.encode(x, add_special_tokens=False).ids, x
+    texts = ["", None, "Hello  world's 'quoted' 12ab!!\n\n x", "naïve été Ñandú", "日本   x", "<|endoftext|> a", "a\x1cb\x85c", "  lead", "tail  ", "x" * 3000, "²½ × ÷", "we'll 'S it''s!'d"]
+    r = random.Random(1)
+    for alphabet in ("ab'sltvemrd  \t\n\r\x0b\x0c\x0012.,!-_éÀ÷Āɏ<|~'", "ab'sltvemrd  \n1.!é'"):
+        texts += ["".join(r.choice(alphabet) for _ in range(r.randint(0, 14))) for _ in range(4000)]
+    want = [t.encode(x or "", add_special_tokens=False).ids for x in texts]
+    for column, wanted in ((pa.array(texts), want), (pa.array(texts[4012:]), want[4012:]), (pa.array(["", None]), [[], []]), (pa.array([], pa.string()), [])):
+        ids, first = encoder().ids(column)
+        assert [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:], strict=True)] == wanted
+        assert encoder().counts(column).tolist() == [len(w) for w in wanted]
 
 
 @settings(max_examples=40, deadline=None)
@@ -234,6 +267,50 @@ def test_training_order_round_trip(frame, tmp_path):
     assert sorted(map(tuple, again)) == sorted(map(tuple, first))  # whatever the partitioning
 
 
+@pytest.mark.parametrize("bin_rows,shards", [(10**6, None), (7, 5)])
+def test_training_order_slots_by_force(spark, frame, tmp_path, monkeypatch, bin_rows, shards):
+    """Slots are the permutation's values of the sequences' numbers; repeated and null ids, repeated rows and a very long text."""
+    monkeypatch.setattr("lithos.llm.training_order.ORDER_ROWS", bin_rows)
+    rows = [(k % 9 if k % 4 else None, f"text {k % 11} " * (k % 17)) for k in range(60)] + [(5, "same"), (5, "same"), (None, None), (None, ""), (2**62, "far"), (-(2**62), "very long " * 20_000)]
+    df = frame(rows)
+    tie = {r.text: r.tie for r in df.select("text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie")).distinct().collect()}
+    docs = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, tie[r[1]]))
+    owner = [(i, seq, min(32, n - 32 * seq)) for i, t in docs for n in [len(encoder().encode(t or "")) + 1] for seq in range(-(-n // 32))]
+    slots = Feistel(len(owner), 3)(np.arange(len(owner))).tolist()
+    uri = f"file://{tmp_path}/a"
+    got = training_order(df.repartition(4), uri, length=32, key=3, shards=shards).collect()
+    assert sorted((g.slot, g.doc_id, g.seq, g.n_ids) for g in got) == sorted((s, *o) for s, o in zip(slots, owner, strict=True))
+    ids = read_slots(uri, 0, len(got))
+    assert all(zlib.crc32(ids[g.slot].tobytes()) == g.ids_crc32 for g in got)
+    assert len({g.shard for g in got}) == (shards or 1) and all(g.byte_offset % 64 == 0 for g in got)
+
+
+def test_training_order_retry_writes_the_same_bytes(frame, tmp_path, spark):
+    """The tasks that write fail once; the files are those of a run without failures."""
+    from lithos.llm import training_order as module
+
+    rows = [(k % 7, f"text {k % 5} " * k) for k in range(40)]
+    training_order(frame(rows), f"file://{tmp_path}/a", length=32, shards=3)
+    a = pa.Table.from_pylist([{"slot": s, "shard": s // 4, "id": 1, "seq": 0, "n_ids": 3, "ids_crc32": 0, "ids": bytes([s]) * 8} for s in range(8)])
+    (tmp_path / "b").mkdir()
+    TaskContext = type("T", (), {"get": staticmethod(lambda: type("C", (), {"taskAttemptId": staticmethod(lambda: 1)})())})
+    old, module.TaskContext = module.TaskContext, TaskContext
+    try:
+        half = module._write(f"file://{tmp_path}/b", 8, 4)(iter(a.to_batches(max_chunksize=3)))
+        next(half)
+        half.close()  # lost on the way: no shard is there yet
+        assert not list((tmp_path / "b").glob("*.bin"))
+        for _ in range(2):
+            list(module._write(f"file://{tmp_path}/b", 8, 4)(iter(a.to_batches(max_chunksize=3))))
+            assert [(tmp_path / "b" / f"00000{k}.bin").read_bytes() for k in (0, 1)] == [b"".join(bytes([s]) * 8 for s in range(4 * k, 4 * k + 4)) for k in (0, 1)]
+        with pytest.raises(ValueError, match="lacks a slot"):
+            list(module._write(f"file://{tmp_path}/b", 8, 4)(iter(a.slice(1).to_batches())))
+    finally:
+        module.TaskContext = old
+    again = training_order(frame(rows[::-1]).repartition(5), f"file://{tmp_path}/c", length=32, shards=3)
+    assert again.count() and all((tmp_path / "a" / f"00000{k}.bin").read_bytes() == (tmp_path / "c" / f"00000{k}.bin").read_bytes() for k in range(3))
+
+
 def test_language(spark):
     docs = spark.createDataFrame([(t, lang) for lang, t in {"en": "the house and the garden of this town", "de": "das haus und der garten in dieser stadt", "fr": "la maison et le jardin de cette ville", "es": "la casa y el jardín de esta ciudad"}.items() for _ in range(5)], "text string, lang string").withColumn("doc_id", F.monotonically_increasing_id())
     page = lambda lang, text: f'<html lang="{lang}"><head><title>t</title><script>var x="<p>the the</p>"</script></head><body><p>{text}</p></body></html>'
