@@ -7,6 +7,10 @@ items.  Root: what is still underfull is packed over all partitions at once, but
 *counts* of its fills (2047 numbers at most); each bin then finds its place from its rank
 among the bins of the same fill, so no task holds more than a partition.
 
+No task holds more than about ``BUFFER`` pieces (some 100 bytes each), whatever their sizes:
+a task packs in turns of that many, and if no bin ever fills, as with documents of just
+over half a sequence, the upper levels do too, reading bins one after the other.
+
 One routine, ``plan``, serves every level: best-fit decreasing over counts of sizes, where
 a whole class of alike bins is placed in a step.
 """
@@ -24,6 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lithos.llm.shared import settled
+from lithos.llm.textops import slices
 from lithos.llm.tokens import encoder
 
 LIMIT = 2048
@@ -33,6 +38,8 @@ FAN_IN = 8
 LEVELS = 2
 #: Most pieces that a task holds at a time; more are packed in turns.
 BUFFER = 400_000
+#: Bits of a bin's home that hold the turn; the others hold the partition.
+TURN_BITS = 32
 
 
 def plan(counts: np.ndarray, limit: int = LIMIT) -> list[tuple[int, int, int, int, int]]:
@@ -105,7 +112,7 @@ def pack(size: np.ndarray, limit: int = LIMIT) -> tuple[np.ndarray, np.ndarray]:
     return Places(plan(np.bincount(size, minlength=limit + 1), limit)).find(size, ranks(size))
 
 
-_STATE = "bin bigint, offset bigint, fill bigint, home int, slot bigint"
+_STATE = "bin bigint, offset bigint, fill bigint, home bigint, slot bigint"
 _NAMES = ["piece", "start", "length", "ids_crc32", "bin", "offset", "fill", "home", "slot"]
 
 
@@ -117,35 +124,45 @@ def _rows(id_: pa.Array, cols: dict[str, np.ndarray], inner: np.ndarray, offset:
     """One batch of pieces with their bins: fill, and each bin's rank among those of its fill."""
     fill_of = np.bincount(inner, weights=cols["length"]).astype(np.int64) if len(inner) else np.zeros(0, np.int64)
     slot_of = ranks(fill_of)
-    home = np.full(len(inner), (TaskContext.get().partitionId() << 8) + turn, np.int32)
+    home = np.full(len(inner), (TaskContext.get().partitionId() << TURN_BITS) + turn, np.int64)
     cols = cols | {"bin": _dealt(level, turn, inner), "offset": offset, "fill": fill_of[inner], "home": home, "slot": slot_of[inner]}
-    return pa.RecordBatch.from_arrays([id_, *(pa.array(cols[k], pa.int32() if k in ("piece", "home") else pa.int64()) for k in _NAMES)], names=["id", *_NAMES])
+    return pa.RecordBatch.from_arrays([id_, *(pa.array(cols[k], pa.int32() if k == "piece" else pa.int64()) for k in _NAMES)], names=["id", *_NAMES])
+
+
+def pieces_of(n: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document, piece, start, length) of documents of n ids; only the first piece may be shorter than the limit."""
+    count = -(-n // limit)
+    owner = np.repeat(np.arange(len(n)), count)
+    piece = np.arange(len(owner)) - (np.cumsum(count) - count)[owner]
+    head = n - (count - 1) * limit
+    start = np.where(piece > 0, head[owner] + (piece - 1) * limit, 0)
+    return owner, piece, start, np.where(piece > 0, limit, head[owner])
 
 
 def _level0(limit: int, end_id: int, ranks_path: str | None, json_path: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(ranks_path, json_path)
         ids: list[pa.Array] = []
-        held: list[tuple[int, int, int, int]] = []
+        held: list[tuple[np.ndarray, ...]] = []
         turn = 0
 
         def flush() -> pa.RecordBatch:
-            piece, start, length, crc = np.array(held, dtype=np.int64).reshape(-1, 4).T
+            piece, start, length, crc = (np.concatenate(x) for x in zip(*held, strict=True))
             inner, offset = pack(length, limit)
             return _rows(pa.concat_arrays(ids), {"piece": piece, "start": start, "length": length, "ids_crc32": crc}, inner, offset, 0, turn, limit)
 
-        for batch in batches:
-            owner = []
-            for k, text in enumerate(batch.column("text")):
-                tokens = np.append(enc.encode(text.as_py() or ""), np.uint32(end_id)).astype("<u4")
-                at, piece = 0, 0
-                while at < len(tokens):
-                    to = at + ((len(tokens) - at) % limit or limit)
-                    held.append((piece, at, to - at, zlib.crc32(tokens[at:to].tobytes())))
-                    owner.append(k)
-                    at, piece = to, piece + 1
-            ids.append(batch.column("id").take(pa.array(owner, pa.int64())))
-            if len(held) >= BUFFER // 2:
+        for rows in slices(batches, "text"):
+            flat, at = enc.ids(rows.column("text"))
+            n = np.diff(at) + 1
+            to = np.cumsum(n) - n
+            tokens = np.full(int(n.sum()), end_id, "<u4")
+            tokens[np.repeat(to - at[:-1], n - 1) + np.arange(len(flat))] = flat
+            owner, piece, start, length = pieces_of(n, limit)
+            raw, lo = memoryview(tokens).cast("B"), to[owner] + start
+            crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(lo.tolist(), (lo + length).tolist(), strict=True)]
+            ids.append(rows.column("id").take(pa.array(owner)))
+            held.append((piece, start, length, np.array(crc, np.int64)))
+            if sum(len(x[0]) for x in held) >= BUFFER // 2:
                 yield flush()
                 ids, held, turn = [], [], turn + 1
         if held:
@@ -155,9 +172,11 @@ def _level0(limit: int, end_id: int, ranks_path: str | None, json_path: str | No
 
 
 def _again(level: int, limit: int):
+    """Bins, each with its pieces one after the other, packed once more in turns."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[pa.RecordBatch] = []
-        turn = 0
+        rows = turn = 0
 
         def flush() -> pa.RecordBatch:
             t = pa.Table.from_batches(kept).combine_chunks()
@@ -168,9 +187,19 @@ def _again(level: int, limit: int):
             return _rows(t.column("id").combine_chunks(), own, to[inverse], cols["offset"] + shift[inverse], level, turn, limit)
 
         for batch in batches:
-            if batch.num_rows:
-                kept.append(batch)
-        # A bin's pieces never part: all of a partition is packed in one turn.
+            while batch.num_rows:
+                at = batch.num_rows
+                if rows + at >= BUFFER // 2:  # to the end of the bin in which the turn ends
+                    bins = batch.column("bin").to_numpy()
+                    last = bins[max(0, BUFFER // 2 - rows - 1)]
+                    at = int(np.searchsorted(bins, last, side="right"))
+                kept.append(batch.slice(0, at))
+                rows += at
+                full = rows >= BUFFER // 2 and at < batch.num_rows
+                batch = batch.slice(at)
+                if full:
+                    yield flush()
+                    kept, rows, turn = [], 0, turn + 1
         if kept:
             yield flush()
 
@@ -190,7 +219,10 @@ def pack_documents(
 
     A document is its token ids and then ``end_id``; null and empty texts are that id alone.
     Only documents over ``limit`` are cut; their first piece may be shorter than the limit.
-    Repeated rows are packed like any other.  Other columns are ignored; no rows, no pieces.
+    Null ids, repeated ids and repeated rows are packed like any other.  Of pieces of one
+    size any may take a place (ties go by the order of the rows).  A text of any length is
+    one unit of a task's memory.  Other columns are ignored, whatever their names; no rows,
+    no pieces.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -203,7 +235,8 @@ def pack_documents(
         parts = -(-parts // FAN_IN)
         if parts < 2:
             break
-        packed = settled(left.repartition(parts, F.floor(F.shiftright("home", 8) / FAN_IN**level)).mapInArrow(_again(level, limit), schema))
+        met = left.repartition(parts, F.floor(F.shiftright("home", TURN_BITS) / FAN_IN**level)).sortWithinPartitions("bin")
+        packed = settled(met.mapInArrow(_again(level, limit), schema))
         done.append(packed.filter(F.col("fill") >= limit - SLACK))
         left = packed.filter(F.col("fill") < limit - SLACK)
 

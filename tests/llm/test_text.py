@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lithos.llm.decontaminate import Automaton, decontaminate, remove_spans
 from lithos.llm.language import identify, visible
-from lithos.llm.packing import pack_documents, plan
+from lithos.llm.packing import pack_documents, pieces_of, plan
 from lithos.llm.pii import find_pii
 from lithos.llm.textops import SPACED, gram_hashes, hash_spans, slices, text_bytes, word_spans
 from lithos.llm.tokens import encoder
@@ -205,8 +205,9 @@ def test_plan_is_best_fit_decreasing(sizes):
     assert abs(len(bins) - len(room)) <= 1  # ties of equal room may go either way
 
 
-@pytest.mark.parametrize("parts", [1, 20])
-def test_packing(frame, parts):
+@pytest.mark.parametrize("parts,buffer", [(1, 400_000), (20, 400_000), (20, 40)])
+def test_packing(frame, monkeypatch, parts, buffer):
+    monkeypatch.setattr("lithos.llm.packing.BUFFER", buffer)
     r = random.Random(8)
     rows = [(k, " ".join(r.choice(["alpha", "beta", "été", "x1"]) for _ in range(r.choice([0, 3, 400, 900, 1500, 3000])))) for k in range(120)] + [(500, None), (501, ""), (502, "日本")]
     got = pack_documents(frame(rows).repartition(parts)).collect()
@@ -234,6 +235,64 @@ def test_packing(frame, parts):
     assert len(bins) >= -(-total // 2048)
 
 
+def test_packing_in_very_many_turns(frame, monkeypatch):
+    """Hundreds of turns in a partition, null and repeated ids, repeated rows: every piece has a place of its own."""
+    monkeypatch.setattr("lithos.llm.packing.BUFFER", 2)
+    monkeypatch.setattr("lithos.llm.packing.slices", lambda batches, text: (b.slice(k, 1) for b in batches for k in range(b.num_rows)))
+    rows = [(k % 50 if k % 3 else None, f"text {k % 7} " * (k % 5)) for k in range(600)]
+    got = pack_documents(frame(rows).coalesce(1), limit=32).collect()
+    lengths = [len(encoder().encode(t)) + 1 for _, t in rows]
+    assert sum(g.length for g in got) == sum(lengths) and len(got) == sum(-(-n // 32) for n in lengths)
+    bins = {}
+    for g in got:
+        bins.setdefault(g.sequence_id, []).append((g.offset, g.length))
+    for places in bins.values():
+        places.sort()
+        assert [p for p, _ in places] == np.cumsum([0, *(n for _, n in places)])[:-1].tolist() and sum(n for _, n in places) <= 32
+    assert len(bins) <= 1.02 * -(-sum(lengths) // 32) + 1
+
+
+def test_packing_holds_a_bounded_number_of_bins_that_never_fill():
+    """Documents of 1,100 ids: no bin takes a second one, and still a turn holds BUFFER / 2 pieces."""
+    from lithos.llm import packing
+
+    n, names = 1_000_000, ["id", *packing._NAMES]
+    one = {"length": 1100, "fill": 1100}
+
+    def batches():
+        for at in range(0, n, 50_000):
+            cols = [pa.array(np.arange(at, at + 50_000) if k in ("id", "bin") else np.full(50_000, one.get(k, 0)), pa.int32() if k == "piece" else pa.int64()) for k in names]
+            yield pa.RecordBatch.from_arrays(cols, names=names)
+
+    class context:
+        get = staticmethod(lambda: type("C", (), {"partitionId": staticmethod(lambda: 3)})())
+
+    old, packing.TaskContext = packing.TaskContext, context
+    try:
+        seen, total = set(), 0
+        for b in packing._again(1, 2048)(batches()):
+            assert b.num_rows <= packing.BUFFER // 2 + 1
+            total += b.num_rows
+            seen.update(b.column("bin").to_pylist())
+    finally:
+        packing.TaskContext = old
+    assert total == len(seen) == n
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 200), max_size=20), st.integers(1, 40))
+def test_pieces_of(n, limit):
+    owner, piece, start, length = pieces_of(np.array(n, np.int64), limit)
+    want = []
+    for k, x in enumerate(n):
+        at = 0
+        while at < x:
+            to = at + ((x - at) % limit or limit)
+            want.append((k, len([w for w in want if w[0] == k]), at, to - at))
+            at = to
+    assert list(zip(owner.tolist(), piece.tolist(), start.tolist(), length.tolist(), strict=True)) == want
+
+
 def test_packing_nothing(frame):
     assert pack_documents(frame([])).count() == 0
 
