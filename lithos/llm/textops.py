@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 SLICE_BYTES = 2 << 20
 _LONG_SPAN = 4096
@@ -41,7 +42,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column and the len+1 offsets of its rows; null is empty."""
-    arr = column.fill_null("").cast(pa.large_binary())
+    arr = column if column.null_count == 0 else column.fill_null("")
+    arr = arr.cast(pa.large_binary())
     off = np.frombuffer(arr.buffers()[1], dtype=np.int64, count=len(arr) + 1, offset=8 * arr.offset) if len(arr) else np.zeros(1, np.int64)
     buf = arr.buffers()[2] if len(arr) else None
     data = np.frombuffer(buf, dtype=np.uint8) if buf is not None and buf.size else np.zeros(0, np.uint8)
@@ -53,7 +55,8 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = SLICE_BYTES
     for batch in batches:
         if not batch.num_rows:
             continue
-        _, off = text_bytes(batch.column(text))
+        size = pc.binary_length(batch.column(text)).fill_null(0).to_numpy(zero_copy_only=False)
+        off = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
         at = 0
         while at < batch.num_rows:
             to = max(at + 1, int(np.searchsorted(off, off[at] + most, side="right")) - 1)

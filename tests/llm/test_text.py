@@ -164,6 +164,44 @@ def test_pii_adds_what_the_base_swallowed(frame):
     assert got[1].n_card == 1 and got[1].n_phone == 1
 
 
+def test_pii_recall_of_planted_spans_by_kind(frame):
+    """What no base pattern matches, planted at known places; look-alikes after words like 'serial' stay out."""
+    r = random.Random(12)
+    cards = ["4539578763621486", "4916338506082832", "5425233430109903", "6011000990139424"]
+    number = lambda: f"({r.randint(200, 999)}) {r.randint(200, 999)}-{r.randint(1000, 9999)}"
+    name = lambda: r.choice(["ann", "bob.x", "c_d", "eve"]) + str(r.randint(1, 99))
+    fill = lambda: " ".join(r.choice(["alpha", "beta", "gamma", "delta", "the", "of"]) for _ in range(r.randint(2, 9)))
+    rows, wanted, decoys = [], {"email": [], "card": [], "phone": [], "ip": []}, []
+
+    def add(before, span, after, kind=None):
+        k, text = len(rows), f"{fill()} {before}"
+        if kind:
+            wanted[kind].append((k, f"{kind}:{len(text)}:{len(text) + len(span)}"))
+        elif kind is False:
+            decoys.append(k)
+        rows.append((k, text + span + after + " " + fill()))
+
+    for _ in range(300):
+        add("mail ", f"{name()}@h{r.randint(1, 9)}.example.com", " now")
+        add("call ", f"+1 {number()}", " today")
+        add("host ", ".".join(str(r.randint(1, 255)) for _ in range(4)), " up")
+        add("card ", r.choice(cards), " paid")
+        add("serial ", f"{r.randint(100, 999)}-{r.randint(100, 999)}-{r.randint(1000, 9999)}", " built", False)
+        add("order ", str(10**15 + 7 * r.randint(1, 10**9)), " sent")
+    for _ in range(60):
+        add("mail ", f"{name()} [at] h{r.randint(1, 9)} [dot] example [dot] com", " now", "email")
+        add("mail ", f"{name()} (at) host.example.com", " now", "email")
+        add("call ", number(), " today", "phone")
+        add("both ", cards[0], " " + r.choice(cards), "card")
+        add("card 12 ", r.choice(cards), " paid", "card")
+    got = {g.doc_id: (g.spans.split(","), g) for g in find_pii(frame(rows)).collect()}
+    for kind in ("email", "card", "phone"):
+        caught = [w in got[k][0] for k, w in wanted[kind]]
+        assert sum(caught) >= 0.9 * len(caught), (kind, sum(caught), len(caught))
+    assert sum(any(x.startswith("phone") for x in got[k][0]) for k in decoys) <= 0.02 * len(decoys)
+    assert all(got[k][1].n_phone + got[k][1].n_email + got[k][1].n_card == 0 for kind in ("email", "phone") for k, _ in wanted[kind])
+
+
 def test_tokens_equal_the_tokenizers_file():
     import public_tokenizers
     from tokenizers import Tokenizer
