@@ -421,3 +421,53 @@ def test_language(spark):
     assert got[102].lang == "fr" and got[103].lang == "en" and got[103].suffix == "fr"
     assert identify(df.limit(0), docs).count() == 0
     assert visible("a<!-- b --><style>c</style>&amp;<b>d</b>").split() == ["a", "&", "d"]
+
+
+@pytest.mark.parametrize("page,text", [("a<!-- b", "a"), ("a<b", "a<b"), ("<nav>a<p>b", "a b"), ("<SCRIPT>x</script >y", "y"), ("a<!-- <p> -->b<br/>c", "a b c"), ("<title>t</title><title>u", "u"), ("", "")])
+def test_visible(page, text):
+    assert visible(page) == text
+
+
+@pytest.mark.parametrize("piece", ["<!--", "<", "<script>", "<nav><title>", "</nav", "<a "])
+def test_visible_takes_linear_time(piece):
+    import time
+
+    def took(n):
+        began = time.process_time()
+        visible(piece * (n // len(piece)))
+        return time.process_time() - began
+
+    took(100_000)
+    assert took(4_000_000) < 8
+
+
+def test_language_accuracy_on_labelled_pages(spark):
+    """Short pages of known language: a fifth declares a wrong one, hosts and suffixes (at, mx, ...) lean to one."""
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").filter("length(text) > 200")
+    r = random.Random(3)
+    ends = {"de": ["de", "at"], "en": ["uk", "com"], "es": ["es", "mx"], "fr": ["fr", "be"]}
+    rows, truth = [], {}
+    for d in docs.orderBy(F.xxhash64("doc_id")).limit(900).collect():
+        if d.lang not in ends:
+            continue
+        words = d.text.split()
+        at = r.randrange(max(1, len(words) - 4))
+        says = r.choice(sorted(ends)) if r.random() < 0.2 else d.lang
+        home = r.choice(sorted(ends)) if r.random() < 0.15 else d.lang
+        k = len(rows)
+        rows.append((k, f"http://h{r.randint(0, 3)}.{home}site.{r.choice(ends[home])}/{k}", f'<html lang="{says}"><p>{" ".join(words[at : at + 3])}</p>'))
+        truth[k] = d.lang
+    got = identify(spark.createDataFrame(rows, "page_id long, url string, html string"), spark.read.parquet(f"{sf}/documents.parquet")).collect()
+    fused = sum(g.lang == truth[g.page_id] for g in got) / len(got)
+    alone = sum(g.text_lang == truth[g.page_id] for g in got) / len(got)
+    print(f"fused {fused:.3f}, text alone {alone:.3f} of {len(got)}")
+    assert len(got) > 500 and fused > 0.95 and fused >= alone
+
+
+def test_language_edges(spark):
+    """Repeated pages, null ids, ties: without any evidence the first language is taken."""
+    docs = spark.createDataFrame([(1, "the house", "en"), (2, "das haus", "de")], "doc_id long, text string, lang string")
+    pages = [(1, "http://a.b/", ""), (1, "http://a.b/", ""), (None, None, None), (3, "x" * 100_000, "<!--" * 100_000)]
+    got = identify(spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("k", F.lit(7)), docs).collect()
+    assert len(got) == 4 and {g.lang for g in got} == {"de"} and {g.text_lang for g in got} == {None}
