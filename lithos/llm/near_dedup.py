@@ -40,8 +40,10 @@ from lithos.llm.textops import LOWER, SPACED, U, gram_hashes, hash_spans, mix, s
 SHINGLE = 5
 SIMILARITY = 80
 COORDINATES, FIRST = 128, 40
-#: Lists up to SHORT give all pairs; longer ones are chunked by CHUNK; the rest pass compares BLOCK by BLOCK entries.
-SHORT, CHUNK, BLOCK = 8, 32, 4096
+#: Lists up to SHORT give all pairs, longer ones are chunked by CHUNK.
+SHORT, CHUNK = 8, 32
+#: The rest pass compares blocks of a sixteenth of a cluster, within these bounds.
+LEAST_BLOCK, MOST_BLOCK = 512, 4096
 
 _R = np.random.default_rng(20240607)
 _A = _R.integers(0, 2**32, COORDINATES, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
@@ -273,7 +275,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         own = members.select("id", "component").distinct().join(clusters.select(F.col("node").alias("id"), F.col("component").alias("cluster")), "id")
         own, sizes = spread(own, ["cluster"], "id", salts)
         own = rejoin(own, sizes.select("cluster", "size", "salts"), ["cluster"]).join(briefs, "id")
-        own = own.withColumn("blocks", F.ceil(F.col("size") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+        block = F.least(F.lit(MOST_BLOCK), F.greatest(F.lit(LEAST_BLOCK), F.ceil(F.col("size") / 16)))
+        own = own.withColumn("blocks", F.ceil(F.col("size") / block)).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
         dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))).select(
             "id", "component", "cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
             F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1).alias("side"), "n", "brief",
