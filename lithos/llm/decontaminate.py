@@ -33,7 +33,7 @@ WINDOW = 13
 #: Words of items in one automaton (some 700 bytes a word).
 BLOCK_WORDS = 100_000
 #: Words of passages that one task streams through an automaton, about.
-PASSAGE_WORDS = 1_000_000
+PASSAGE_WORDS = 250_000
 #: Least and most bits of the bitmap of windows, as powers of two (16 MB at most).
 LEAST_BITS, MOST_BITS = 20, 27
 _CHUNK = 15  # bits of a place within a chunk of the bitmap
