@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lithos.llm.shared import drawn
-from lithos.llm.textops import LOWER, SPACED, U, gram_hashes, hash_spans, mix, per_document, slices, sums, text_bytes, word_spans
+from lithos.llm.textops import LOWER, SPACED, U, gram_hashes, hash_spans, mix, per_document, pieces, slices, sums, text_bytes, word_spans
 
 #: Most labelled rows a model is fitted on.
 TRAIN_ROWS = 4000
@@ -68,6 +68,14 @@ def features(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def logits(weights: np.ndarray, bias: float, data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """One for each text; a single one may be of any length and is read in pieces."""
+    if len(off) == 2:
+        total, n = 0.0, 0
+        for piece, skip in pieces(data, SPACED, 2):  # features look back two words
+            idx, _ = features(piece, np.array([0, len(piece)]))
+            total += float(weights[idx[:, skip:]].sum(dtype=np.float64))
+            n += idx.shape[1] - skip
+        return np.array([bias + total / max(n, 1)])
     idx, first = features(data, off)
     per_word = weights[idx].sum(axis=0, dtype=np.float64) if idx.shape[1] else np.zeros(0)
     return bias + sums(per_word, first) / np.maximum(np.diff(first), 1)
@@ -107,12 +115,15 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_c
 
 
 def score_quality(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.3, train_rows: int = TRAIN_ROWS
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.3, train_rows: int = TRAIN_ROWS, keep: tuple[str, ...] = ()
 ) -> DataFrame:
     """One row per document: id_col, held_out, score, predicted.
 
     Null and empty texts score the bias alone.  Without any usable label every score is 0.5.
-    Repeated rows score alike; rows with a null id are scored and never learnt from.
+    Repeated rows score alike; rows with a null id are scored and never learnt from.  Scores
+    at the threshold are predicted 1.  Very long texts are read in pieces.  Other columns
+    are ignored, whatever their names, but for those of ``keep``, which come along; an empty
+    table gives no rows.
     """
     spark = docs.sparkSession
     texts, y = labelled(docs, labels, label_col, id_col, text_col, train_rows, 11)
@@ -123,8 +134,12 @@ def score_quality(
         weights, bias = shared.value
         for batch in slices(batches, "text"):
             s = 1 / (1 + np.exp(-np.clip(logits(weights, bias, *text_bytes(batch.column("text"))), -30, 30)))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.round(s, 9))], names=["id", "score"])
-
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    scored = rows.mapInArrow(score, f"id {rows.schema['id'].dataType.simpleString()}, score double")
-    return scored.select(F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+            more = batch.schema.names[2:]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.round(s, 9)), *map(batch.column, more)], names=["id", "score", *more])
+
+    own = [F.col(c).alias(f"keep_{k}") for k, c in enumerate(keep)]
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *own)
+    more = [f"keep_{k} {rows.schema[f'keep_{k}'].dataType.simpleString()}" for k in range(len(keep))]
+    scored = rows.mapInArrow(score, ", ".join([f"id {rows.schema['id'].dataType.simpleString()}, score double", *more]))
+    out = [F.col(f"keep_{k}").alias(c) for k, c in enumerate(keep)]
+    return scored.select(F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *out)

@@ -81,6 +81,27 @@ def word_spans(data: np.ndarray, off: np.ndarray, kind: np.ndarray) -> tuple[np.
     return start, end, np.searchsorted(start, off)
 
 
+#: Bytes beyond which one text is worked on in pieces.
+LONG = 1 << 20
+
+
+def pieces(data: np.ndarray, kind: np.ndarray, overlap: int, most: int = LONG) -> Iterator[tuple[np.ndarray, int]]:
+    """A text in pieces of about ``most`` bytes that part no word; each begins with up to
+    ``overlap`` words of the one before, whose number comes along."""
+    lo = at = skip = 0
+    while True:
+        to = min(len(data), at + most)
+        while to < len(data) and kind[data[to]]:
+            gap = np.flatnonzero(~kind[data[to : to + most]])
+            to = min(len(data), to + (int(gap[0]) if len(gap) else most))
+        yield data[lo:to], skip
+        if to == len(data):
+            return
+        start, _, _ = word_spans(data[lo:to], np.array([0, to - lo]), kind)
+        skip = min(overlap, len(start))
+        lo, at = (lo + int(start[-skip]) if skip else to), to
+
+
 def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
     """A 64-bit hash of each byte span, eight bytes at a time."""
     pad = np.concatenate([data, np.zeros(8, np.uint8)])

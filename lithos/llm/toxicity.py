@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from lithos.llm.quality import held_out
 from lithos.llm.shared import drawn
-from lithos.llm.textops import ALNUM, LOWER, U, hash_spans, mix, slices, sums, text_bytes, word_spans
+from lithos.llm.textops import ALNUM, LOWER, U, hash_spans, mix, pieces, slices, sums, text_bytes, word_spans
 
 #: Most labelled rows a model is fitted on, and the share of them kept aside for calibration.
 TRAIN_ROWS = 4000
@@ -46,11 +46,27 @@ def _hash_words(words: list[str]) -> np.ndarray:
     return hash_spans(np.frombuffer(b"".join(raw), np.uint8), end - [len(r) for r in raw], end)
 
 
+#: Bytes of words before lower-casing.
+_WORDY = ALNUM[LOWER]
 _FUNCTION = [np.sort(_hash_words(w.split())) for w in FUNCTION_WORDS.values()]
 
 
 def encode(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """PIECES x words embedding rows, each document's first word, each document's language (-1: unknown)."""
+    out, first, counts = rows_of(data, off)
+    return out, first, language_of(counts)
+
+
+def language_of(counts: np.ndarray) -> np.ndarray:
+    """The language with the most function words; -1 if there are none."""
+    return np.where(counts.max(axis=0, initial=0) > 0, counts.argmax(axis=0), -1) if counts.shape[1] else np.zeros(0, int)
+
+
+def rows_of(data: np.ndarray, off: np.ndarray, skip: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """PIECES x words embedding rows, each document's first word, languages x documents counts of function words.
+
+    The first ``skip`` words of the first document are not counted.
+    """
     data = LOWER[data]
     start, end, first = word_spans(data, off, ALNUM)
     out = np.empty((len(PIECES), len(start)), np.int32)
@@ -60,10 +76,11 @@ def encode(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
         if not n:
             for lang, known in enumerate(_FUNCTION):
                 at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                counts[lang] = sums((known[at] == h).astype(np.int64), first)
+                hit = (known[at] == h).astype(np.int64)
+                hit[:skip] = 0
+                counts[lang] = sums(hit, first)
         out[k] = (mix(h + U(k)) >> U(64 - BITS)).astype(np.int32) + (k << BITS)
-    lang = np.where(counts.max(axis=0, initial=0) > 0, counts.argmax(axis=0), -1) if counts.shape[1] else np.zeros(0, int)
-    return out, first, lang
+    return out, first, counts
 
 
 class Network:
@@ -80,21 +97,21 @@ class Network:
         self.v = {k: np.zeros_like(v) for k, v in self.p.items()}
         self.t = 0
 
-    def pooled(self, idx: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, dict]:
+    def pooled(self, idx: np.ndarray, first: np.ndarray, lead: int = 0) -> tuple[np.ndarray, dict]:
         """documents x (WIDTHS * FILTERS) maxima, and the words they come from.
 
-        Each document is preceded by max(WIDTHS)-1 blank words, so short and empty texts pool too.
+        Each document is preceded by max(WIDTHS)-1 blank words, so short and empty texts pool
+        too; the first ``lead`` places of each are left out.
         """
         docs, pad = len(first) - 1, max(WIDTHS) - 1
         n = np.diff(first)
         x = np.zeros((idx.shape[1] + pad * (docs + 1), DIM), np.float32)
         rows = np.arange(idx.shape[1]) + pad * (1 + np.repeat(np.arange(docs), n))
-        if len(rows):
-            v = self.p["e"][idx[0]]
+        v = self.p["e"][idx[0]]
         for one in idx[1:]:
             v += self.p["e"][one]
         x[rows] = v
-        lo = first[:-1] + pad * np.arange(docs)
+        lo = first[:-1] + pad * np.arange(docs) + lead
         out, at = np.empty((docs, len(WIDTHS) * FILTERS), np.float32), np.empty((docs, len(WIDTHS) * FILTERS), np.int64)
         for j, w in enumerate(WIDTHS):
             m = len(x) - w + 1
@@ -104,7 +121,7 @@ class Network:
             c += self.p[f"b{w}"][:, None]
             part = slice(j * FILTERS, (j + 1) * FILTERS)
             # Blocks start at a document's blanks; the filter may not reach past its last word.
-            hi = np.minimum(lo + pad + np.maximum(n, 1) - w + 1, m)
+            hi = np.minimum(np.maximum(lo - lead + pad + np.maximum(n, 1) - w + 1, lo + 1), m)
             edges = np.stack([lo, hi], axis=1).ravel()
             edges[1::2] = np.minimum(edges[1::2], m - 1)
             out[:, part] = np.maximum.reduceat(c, edges, axis=1)[:, ::2].T if docs else 0
@@ -121,6 +138,19 @@ class Network:
         self.act = np.maximum(out, 0)
         return self.act @ self.p["o"] + self.p["c"][0]
 
+    def logit_of_long(self, data: np.ndarray) -> tuple[float, int]:
+        """The logit and language of one text of any length, pooled over overlapping pieces."""
+        pad = max(WIDTHS) - 1
+        best, counts = None, 0
+        for piece, skip in pieces(data, _WORDY, pad):
+            idx, first, found = rows_of(piece, np.array([0, len(piece)]), skip)
+            counts = counts + found
+            if skip and idx.shape[1] == skip:  # no word of its own
+                continue
+            out, _ = self.pooled(idx, first, pad if skip == pad else 0)  # fewer: the piece begins with the text
+            best = out if best is None else np.maximum(best, out)
+        return float((np.maximum(best, 0) @ self.p["o"] + self.p["c"][0])[0]), int(language_of(counts)[0])
+
     def step(self, idx: np.ndarray, first: np.ndarray, y: np.ndarray, rate: float) -> None:
         z = self.logits(idx, first)
         d = ((1 / (1 + np.exp(-z))) - y).astype(np.float32) / len(y)
@@ -205,8 +235,11 @@ def score_toxicity(
 ) -> DataFrame:
     """One row per document: id_col, held_out, score, predicted.
 
-    Null and empty texts pool blank words only.  Without usable labels every score is 0.
-    Repeated rows score alike; rows with a null id are scored and never learnt from.
+    Null and empty texts pool blank words only.  Without usable labels, or with labels of
+    one class, every score is 0.  Repeated rows score alike; rows with a null id are scored
+    and never learnt from.  Scores at the threshold are predicted 1.  Very long texts are
+    pooled over overlapping pieces.  Other columns are ignored, whatever their names; an
+    empty table gives no rows.
     """
     spark = docs.sparkSession
     texts, y = labelled_halves(docs, labels, label_col, id_col, text_col, train_rows)
@@ -221,8 +254,13 @@ def score_toxicity(
         for batch in slices(batches, "text", 1 << 19):
             s = np.zeros(batch.num_rows)
             if net is not None:
-                idx, first, lang = encode(*text_bytes(batch.column("text")))
-                s = 1 / (1 + np.exp(-np.clip(net.logits(idx, first) - cuts[lang], -30, 30)))
+                data, off = text_bytes(batch.column("text"))
+                if len(off) == 2:
+                    z, lang = (np.array([x]) for x in net.logit_of_long(data))
+                else:
+                    idx, first, lang = encode(data, off)
+                    z = net.logits(idx, first)
+                s = 1 / (1 + np.exp(-np.clip(z - cuts[lang], -30, 30)))
             # Rounded: float32 sums differ a little with a row's place in its batch.
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.round(s, 6), pa.float64())], names=["id", "score"])
 

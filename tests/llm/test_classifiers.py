@@ -1,6 +1,7 @@
 import random
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -59,3 +60,44 @@ def test_held_out_labels_are_not_learnt(corpus):
     turned = labels.withColumn("quality", F.when(F.col("doc_id").isin(held_ids), 1 - F.col("quality")).otherwise(F.col("quality")))
     key = lambda df: sorted((r.doc_id or -1, round(r.score, 9)) for r in df.collect())
     assert key(score_quality(docs, labels)) == key(score_quality(docs, turned))
+
+
+@pytest.mark.parametrize("most", [1, 7, 60, 10_000])
+def test_long_texts_in_pieces(monkeypatch, most):
+    """Pieces of any size give what the whole text gives."""
+    from lithos.llm import quality, textops, toxicity
+
+    r = random.Random(2)
+    words = ["the", "der", "Naïve", "x" * 30, "zq.ux", "12", "a", "--", "UPPER"]
+    net, weights = toxicity.Network(), np.random.default_rng(1).normal(0, 1, 1 << quality.BITS).astype(np.float32)
+    real = textops.pieces
+    for module in (quality, toxicity):
+        monkeypatch.setattr(module, "pieces", lambda data, kind, overlap: real(data, kind, overlap, most))
+    for k in range(40):
+        raw = " ".join(r.choice(words) for _ in range(r.choice([0, 1, 2, 3, 50, 300]))).encode()
+        data = np.frombuffer(raw, np.uint8)
+        two = np.concatenate([data, data]), np.array([0, len(data), 2 * len(data)])
+        assert np.allclose(quality.logits(weights, 0.5, data, np.array([0, len(data)])), quality.logits(weights, 0.5, *two)[0])
+        idx, first, lang = toxicity.encode(*two)
+        z, own = net.logit_of_long(data)
+        assert np.isclose(z, net.logits(idx, first)[0], atol=1e-5) and own == lang[0], (k, raw)
+
+
+def test_pieces_part_no_word():
+    from lithos.llm.textops import SPACED, pieces
+
+    data = np.frombuffer(b"one two  three four " + b"x" * 50 + b" five", np.uint8)
+    for most in (1, 5, 200):
+        words = []
+        for piece, skip in pieces(data, SPACED, 2, most):
+            own = piece.tobytes().split()
+            assert own[:skip] == words[len(words) - skip :]
+            words += own[skip:]
+        assert words == data.tobytes().split()
+
+
+@pytest.mark.parametrize("score,label", [(score_quality, "quality"), (score_toxicity, "toxic")])
+def test_one_class_and_very_long_words(frame, spark, score, label):
+    docs = frame([(1, "a b"), (2, "w" * 2_000_000 + " " + "v" * 2_000_000), (3, "the " * 700_000)])
+    got = score(docs, spark.createDataFrame([(1, 1), (3, 1)], f"doc_id long, {label} int")).collect()
+    assert len(got) == 3 and all(0 <= r.score <= 1 for r in got)
