@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from lithos.llm.shared import drawn
 from lithos.llm.textops import LOWER, SPACED, U, gram_hashes, hash_spans, mix, per_document, pieces, slices, sums, text_bytes, word_spans
@@ -139,7 +140,7 @@ def score_quality(
 
     own = [F.col(c).alias(f"keep_{k}") for k, c in enumerate(keep)]
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *own)
-    more = [f"keep_{k} {rows.schema[f'keep_{k}'].dataType.simpleString()}" for k in range(len(keep))]
-    scored = rows.mapInArrow(score, ", ".join([f"id {rows.schema['id'].dataType.simpleString()}, score double", *more]))
+    schema = StructType([rows.schema["id"], StructField("score", DoubleType()), *rows.schema.fields[2:]])
+    scored = rows.mapInArrow(score, schema)
     out = [F.col(f"keep_{k}").alias(c) for k, c in enumerate(keep)]
     return scored.select(F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *out)
