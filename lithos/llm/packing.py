@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from lithos.llm.shared import settled
 from lithos.llm.textops import slices
-from lithos.llm.tokens import encoder
+from lithos.llm.tokens import SLICE, encoder
 
 LIMIT = 2048
 #: A bin with at most so much room left is done.
@@ -151,7 +151,7 @@ def _level0(limit: int, end_id: int, ranks_path: str | None, json_path: str | No
             inner, offset = pack(length, limit)
             return _rows(pa.concat_arrays(ids), {"piece": piece, "start": start, "length": length, "ids_crc32": crc}, inner, offset, 0, turn, limit)
 
-        for rows in slices(batches, "text"):
+        for rows in slices(batches, "text", SLICE):
             flat, at = enc.ids(rows.column("text"))
             n = np.diff(at) + 1
             to = np.cumsum(n) - n

@@ -22,8 +22,8 @@ import pyarrow.compute as pc
 from lithos.llm.textops import text_bytes
 
 VOCABULARY = "byte_bpe_50k"
-#: Bytes of text that are cut at a time.
-SLICE = 4 << 20
+#: Bytes of text to encode at a time, for whoever calls; a slice takes some 60 times its size for a moment.
+SLICE = 1 << 20
 
 #: Kinds of bytes: white space, letter (in a known text all of beyond ASCII are), digit, other.
 _SPACE, _LETTER, _DIGIT, _OTHER = range(4)

@@ -36,12 +36,12 @@ from pyspark.sql import functions as F
 
 from lithos.llm.shared import settled, shared_dir
 from lithos.llm.textops import U, mix, slices
-from lithos.llm.tokens import encoder
+from lithos.llm.tokens import SLICE, encoder
 
 LENGTH = 512
 ROUNDS = 6
 #: Bytes of a shard, about; its task sorts that much.
-SHARD_BYTES = 128 << 20
+SHARD_BYTES = 64 << 20
 #: Documents whose numbers are put in order by one task, about.
 ORDER_ROWS = 2_000_000
 
@@ -75,7 +75,7 @@ def _counts(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part = encoder(), TaskContext.get().partitionId()
-        for rows in slices(batches, "text"):
+        for rows in slices(batches, "text", SLICE):
             n = enc.counts(rows.column("text")) // length + 1  # with the end id
             yield pa.RecordBatch.from_arrays([pa.array(np.full(rows.num_rows, part)), rows.column("id"), rows.column("tie"), pa.array(n)], names=["part", "id", "tie", "n"])
 
@@ -136,7 +136,7 @@ def _sequences(uri: str, length: int, end_id: int, width: int, total: int, per_s
         enc, order = encoder(), Feistel(total, key)
         fs, root = pafs.FileSystem.from_uri(uri)
         numbers: dict[tuple, list[int]] | None = None
-        for rows in slices(batches, "text"):
+        for rows in slices(batches, "text", SLICE):
             if numbers is None:
                 numbers = {}
                 with fs.open_input_stream(f"{root}/{TaskContext.get().partitionId()}") as f, pa.ipc.open_stream(f) as stored:

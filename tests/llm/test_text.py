@@ -276,7 +276,7 @@ def test_packing(frame, monkeypatch, parts, buffer):
 def test_packing_in_very_many_turns(frame, monkeypatch):
     """Hundreds of turns in a partition, null and repeated ids, repeated rows: every piece has a place of its own."""
     monkeypatch.setattr("lithos.llm.packing.BUFFER", 2)
-    monkeypatch.setattr("lithos.llm.packing.slices", lambda batches, text: (b.slice(k, 1) for b in batches for k in range(b.num_rows)))
+    monkeypatch.setattr("lithos.llm.packing.slices", lambda batches, text, most: (b.slice(k, 1) for b in batches for k in range(b.num_rows)))
     rows = [(k % 50 if k % 3 else None, f"text {k % 7} " * (k % 5)) for k in range(600)]
     got = pack_documents(frame(rows).coalesce(1), limit=32).collect()
     lengths = [len(encoder().encode(t)) + 1 for _, t in rows]
