@@ -120,6 +120,32 @@ def runs(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return shifted.groupBy(*keys, "_run").agg(F.min(value).alias("start"), F.max(value).alias("end")).drop("_run")
 
 
+def runs_of(points: Column) -> Column:
+    """Runs of consecutive values of an array as sorted (start, end), within the row."""
+    def of(p: Column) -> Column:
+        starts = F.filter(p, lambda x, i: (i == 0) | (x - F.get(p, i - 1) > 1))
+        ends = F.filter(p, lambda x, i: (i == F.size(p) - 1) | (F.get(p, i + 1) - x > 1))
+        return F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("start"), b.alias("end")))
+
+    return F.element_at(F.transform(F.array(F.array_sort(F.array_distinct(points))), of), 1)
+
+
+def rows_of(points: Column, width: int = 16) -> Column:
+    """Sorted distinct points in arrays of ``width``, the last one filled with -1, within the row."""
+    def of(p: Column) -> Column:
+        cells = lambda k: F.slice(F.concat(p, F.array_repeat(F.lit(-1), width - 1)), k * width + 1, F.lit(width))
+        return F.when(F.size(p) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / width).cast("int")), cells)).otherwise(F.array().cast("array<array<int>>"))
+
+    return F.element_at(F.transform(F.array(F.array_sort(F.array_distinct(points))), of), 1)
+
+
+def presence(coverage: Column, rows=BLOCKS) -> Column:
+    """(block_start, block, size, present) of every block, by an array of disjoint (start, end), within the row."""
+    listed = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(n).alias("n")) for a, b, n in rows])
+    inside = lambda b: F.aggregate(coverage, F.lit(0).cast("bigint"), lambda acc, i: acc + F.greatest(F.lit(0), F.least(i["end"], b["b"]) - F.greatest(i["start"], b["a"]) + 1))
+    return F.transform(listed, lambda b: F.struct(b["a"].alias("block_start"), b["n"].alias("block"), (b["b"] - b["a"] + 1).alias("size"), inside(b).alias("present")))
+
+
 def covered(coverage: Column) -> Column:
     """How many points an array of disjoint (start, end) covers."""
     return F.aggregate(coverage, F.lit(0).cast("bigint"), lambda acc, i: acc + i["end"] - i["start"] + 1)

@@ -2,7 +2,7 @@
 
 All of them take and return Columns and stay inside generated code; only the sorting
 letter needs Unicode decomposition, which Spark SQL lacks, and is an Arrow-batched UDF
-that sees the first characters of a name alone.
+that sees the one character it is about.
 """
 
 from __future__ import annotations
@@ -81,20 +81,17 @@ def known_extension(path: Column) -> Column:
 @F.pandas_udf(StringType())
 def _letter(heads: pd.Series) -> pd.Series:
     def one(head: str) -> str:
-        for ch in unicodedata.normalize("NFD", head or ""):
-            if unicodedata.category(ch) == "Mn":
-                continue
-            up = ch.upper()
-            return up if len(up) == 1 and "A" <= up <= "Z" else "#"
-        return "#"
+        up = unicodedata.normalize("NFD", head or "")[:1].upper()
+        return up if len(up) == 1 and "A" <= up <= "Z" else "#"
 
     return heads.map(one)
 
 
 def sorting_letter(family: Column) -> Column:
     """A-Z by the first character without its marks, else #.  Plain ASCII never leaves the JVM's side of the CASE."""
-    first = F.upper(F.substring(family, 1, 1))
-    return F.when(first.rlike("^[A-Z]$"), first).when(first.rlike(r"^[\x00-\x7f]?$"), F.lit("#")).otherwise(_letter(F.substring(family, 1, 32)))
+    head = F.substring(F.regexp_replace(family, r"^\p{Mn}+", ""), 1, 1)  # marks before it count for nothing
+    first = F.upper(head)
+    return F.when(first.rlike("^[A-Z]$") & head.rlike(r"^[\x00-\x7f]$"), first).when(head.rlike(r"^[\x00-\x7f]?$"), F.lit("#")).otherwise(_letter(head))
 
 
 def chip_letter(name: Column) -> Column:
@@ -142,6 +139,11 @@ def any_of(text: Column, words) -> Column:
     return reduce(or_, [F.contains(text, F.lit(w)) for w in words])
 
 
+def has_ligatures(features: Column) -> Column:
+    """Whether any of the features substitutes ligatures."""
+    return F.coalesce(F.arrays_overlap(features, F.array(*[F.lit(t) for t in LIGATURE_FEATURES])), F.lit(False))
+
+
 def metadata_score(names: list[Column], has_os2: Column) -> Column:
     """How many of the names are filled, plus one for an OS/2 table."""
     return sum((F.coalesce((F.length(c) > 0).cast("int"), F.lit(0)) for c in names), F.coalesce(has_os2.cast("int"), F.lit(0)))
@@ -233,5 +235,7 @@ def glyph_label(codepoint: Column, glyph: Column) -> Column:
     return F.when(codepoint.isNull(), F.concat(F.lit("#"), glyph.cast("string"))).when(blank, F.concat(F.lit("U+"), F.lpad(F.hex(codepoint), 4, "0"))).otherwise(F.decode(F.unhex(F.lpad(F.hex(codepoint), 8, "0")), "UTF-32"))
 
 
-def block_label(name: Column, present: Column, size: Column) -> Column:
-    return F.format_string("%s (%d/%d)", name, present, size)
+def block_label(name: Column, start: Column, end: Column, present: Column) -> Column:
+    """Name, bounds and how many of the block's points are covered."""
+    point = lambda c: F.lpad(F.hex(c), F.greatest(F.lit(4), F.length(F.hex(c))), F.lit("0"))
+    return F.concat(name, F.lit(" \u2014 U+"), point(start), F.lit("..U+"), point(end), F.lit(" ("), present.cast("string"), F.lit("/"), (end - start + 1).cast("string"), F.lit(")"))

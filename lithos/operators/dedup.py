@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lithos.operators.skew import to_group
+
 
 def fingerprint(df: DataFrame, content: str) -> DataFrame:
     """Length, CRC-32 and SHA-256 of the content, which is dropped before any shuffle."""
@@ -20,11 +22,11 @@ def exact_groups(df: DataFrame, keys: list[str], path: str) -> DataFrame:
 def match_existing(new: DataFrame, existing: DataFrame, keys: list[str], label: str) -> DataFrame:
     """New rows whose content the catalog has, with the smallest label of the catalog's rows."""
     catalog = existing.groupBy(*keys).agg(F.min(label).alias("matched"))
-    return new.join(catalog, keys)
+    return to_group(new, catalog, keys, F.struct(*new.columns))
 
 
 def unmatched(new: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame:
-    return new.join(existing.select(*keys), keys, "left_anti")
+    return to_group(new, existing.select(*keys).distinct(), keys, F.struct(*new.columns), "left_anti")
 
 
 def not_yet_done(paths: DataFrame, done: DataFrame, path: str) -> DataFrame:

@@ -29,6 +29,14 @@ def feature_summary(lookups: DataFrame, keys: list[str]) -> DataFrame:
     return lookups.groupBy(*keys, "tag").agg(F.count_distinct("lookup").alias("lookup_count"), F.array_join(F.array_sort(F.collect_set("kind")), ", ").alias("lookup_types"))
 
 
+def new_ligatures(ligatures: DataFrame, keys: list[str]) -> DataFrame:
+    """Per feature the ligatures that no feature before it has (columns tag, glyph, components, ord); zeros included."""
+    first = ligatures.groupBy(*keys, "glyph", "components").agg(F.min_by("tag", F.struct("ord", "tag")).alias("tag"))
+    counts = first.groupBy(*keys, "tag").agg(F.count(F.lit(1)).alias("new_ligatures"))
+    tags = ligatures.select(*keys, "tag").distinct()
+    return tags.join(counts, [*keys, "tag"], "left").withColumn("new_ligatures", F.coalesce("new_ligatures", F.lit(0).cast("bigint")))
+
+
 def distinct_ligatures(ligatures: DataFrame, keys: list[str], most: int = 1500) -> DataFrame:
     """Ligatures distinct by (glyph, components), the first ``most`` of each key by order (a feature of the report)."""
     first = ligatures.groupBy(*keys, "glyph", "components").agg(F.min("ord").alias("ord"))

@@ -29,17 +29,23 @@ def has_text(names: list[Column], needle: str) -> Column:
     return F.contains(F.lower(F.concat_ws("\n", *names)), F.lit(needle))
 
 
-def matching(entries: DataFrame, request: Request, names: list[str]) -> DataFrame:
-    """Entries that pass every set part of the request; plain predicates, so they can reach the scan."""
+def passes(request: Request, names: list[str]) -> Column:
+    """Whether an entry passes every set part of the request but favourites, which are judged by group."""
+    out = F.lit(True)
     if request.variable_only:
-        entries = entries.filter("is_variable")
+        out = out & F.col("is_variable")
     if request.installed_only:
-        entries = entries.filter("install_state <> 0")
+        out = out & (F.col("install_state") != 0)
     if request.licence:
-        entries = entries.filter(F.col("licence") == request.licence)
+        out = out & (F.col("licence") == request.licence)
     if request.ext:
-        entries = entries.filter(F.col("ext") == request.ext)
-    return entries.filter(has_text([F.col(n) for n in names], request.needle))
+        out = out & (F.col("ext") == request.ext)
+    return out & has_text([F.col(n) for n in names], request.needle)
+
+
+def matching(entries: DataFrame, request: Request, names: list[str]) -> DataFrame:
+    """Entries that pass every set part of the request; plain predicates, so they can reach the scan."""
+    return entries.filter(passes(request, names))
 
 
 def families(entries: DataFrame, name: str, glyphs: str, order: str) -> DataFrame:
@@ -69,7 +75,11 @@ def search(entries: DataFrame, request: Request, names: list[str], name: str, gl
     return sorted_families(groups, request.sort)
 
 
+def first_family(groups: DataFrame, sort: str = "name") -> DataFrame:
+    """The family that is selected at first: the top one in the given order."""
+    return sorted_families(groups, sort).limit(1)
+
+
 def visible_total(entries: DataFrame, request: Request, names: list[str]) -> DataFrame:
-    """Visible and total counts in one pass."""
-    visible = has_text([F.col(n) for n in names], request.needle)
-    return entries.agg(F.count(F.when(visible, 1)).alias("visible"), F.count(F.lit(1)).alias("total"))
+    """Visible and total counts in one pass, by every set part of the request but favourites."""
+    return entries.agg(F.count(F.when(passes(request, names), 1)).alias("visible"), F.count(F.lit(1)).alias("total"))

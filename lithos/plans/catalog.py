@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+import os
+import shutil
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from lithos.functions.intervals import covered
@@ -12,9 +16,13 @@ from lithos.functions.names import effective_style, format_priority, group_key,
 from lithos.operators.dedup import exact_groups, match_existing, unmatched
 from lithos.operators.placement import repair_plan, resolve_collisions
 from lithos.operators.selection import additive_selection
+from lithos.operators.skew import to_group, with_group
+from lithos.storage import settled
 
 VERSION = 1
-POINTER = "_CURRENT"
+POINTER = "_CURRENT-"
+#: Older pointers that stay, for readers that have just listed them.
+KEPT = 3
 
 
 def _filesystem(spark: SparkSession, path: str):
@@ -23,39 +31,70 @@ def _filesystem(spark: SparkSession, path: str):
     return jvm, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def publish(entries: DataFrame, root: str) -> str:
-    """Writes a new generation next to the old one and then moves the pointer to it.
+def write_generation(entries: DataFrame, root: str) -> str:
+    """Writes a generation next to those that are there; nobody sees it before point_to().
 
-    Readers see the old catalog or the new one, never a part.  Rows are laid out by name,
-    so that searches by name prefix prune row groups.
+    Entries are in catalog order, by name and style without regard to case, across and
+    within files, so that searches by name prefix prune files and row groups.
     """
-    spark = entries.sparkSession
     name = f"v{VERSION}-{uuid.uuid4().hex}"
-    entries.repartitionByRange("display_name").sortWithinPartitions(F.upper("display_name"), F.upper(effective_style(F.col("typo_subfamily"), F.col("style")))).write.parquet(f"{root}/{name}")
+    order = [F.upper("display_name"), F.upper(effective_style(F.col("typo_subfamily"), F.col("style")))]
+    entries.repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(f"{root}/{name}")
+    return name
+
+
+def _pointers(spark: SparkSession, root: str) -> list[tuple[int, str]]:
+    """(number, path) of the pointers, the newest first."""
+    jvm, fs = _filesystem(spark, root)
+    found = fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{root}/{POINTER}*"))
+    names = [s.getPath().getName() for s in found or ()]
+    return sorted(((int(n.removeprefix(POINTER)), f"{root}/{n}") for n in names if n.removeprefix(POINTER).isdigit()), reverse=True)
+
+
+def point_to(spark: SparkSession, root: str, name: str) -> None:
+    """Makes a written generation the current one: a pointer of the next number appears by one rename.
+
+    Nothing is removed before it is there, so a run that dies at any point leaves the old
+    catalog or the new one.  Of two writers of one number the second takes the next.
+    """
     jvm, fs = _filesystem(spark, root)
-    draft = jvm.org.apache.hadoop.fs.Path(f"{root}/.{name}.pointer")
+    path = jvm.org.apache.hadoop.fs.Path
+    draft = path(f"{root}/.{name}.pointer")
     out = fs.create(draft, True)
     out.write(bytearray(name.encode()))
     out.close()
-    target = jvm.org.apache.hadoop.fs.Path(f"{root}/{POINTER}")
-    fs.delete(target, False)
-    if not fs.rename(draft, target):
-        raise OSError(f"cannot move the pointer of {root}")
+    old = _pointers(spark, root)
+    number = old[0][0] + 1 if old else 1
+    while fs.exists(path(f"{root}/{POINTER}{number:012d}")) or not fs.rename(draft, path(f"{root}/{POINTER}{number:012d}")):
+        if not fs.exists(draft):
+            raise OSError(f"cannot publish {name} in {root}")
+        number += 1
+    for _, at in old[KEPT:]:
+        fs.delete(path(at), False)
+
+
+def publish(entries: DataFrame, root: str) -> str:
+    """Writes a new generation and then points to it; readers see the old catalog or the new one, never a part."""
+    name = write_generation(entries, root)
+    point_to(entries.sparkSession, root, name)
     return name
 
 
 def load(spark: SparkSession, root: str) -> DataFrame | None:
-    """The published generation, or None where there is none; another version asks for a rebuild."""
+    """The newest complete generation, or None where none was ever published; another version asks for a rebuild."""
     jvm, fs = _filesystem(spark, root)
-    at = jvm.org.apache.hadoop.fs.Path(f"{root}/{POINTER}")
-    if not fs.exists(at):
-        return None
-    stream = fs.open(at)
-    name = bytes(stream.readAllBytes()).decode()
-    stream.close()
-    if not name.startswith(f"v{VERSION}-"):
-        raise ValueError(f"catalog {name} is of another version; rebuild it")
-    return spark.read.parquet(f"{root}/{name}")
+    pointers = _pointers(spark, root)
+    for _, at in pointers:
+        stream = fs.open(jvm.org.apache.hadoop.fs.Path(at))
+        name = bytes(stream.readAllBytes()).decode()
+        stream.close()
+        if name and not name.startswith(f"v{VERSION}-"):
+            raise ValueError(f"catalog {name} is of another version; rebuild it")
+        if name and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{root}/{name}/_SUCCESS")):
+            return spark.read.parquet(f"{root}/{name}")
+    if pointers:
+        raise OSError(f"no pointer of {root} leads to a complete catalog")
+    return None
 
 
 def heavy(catalog: DataFrame, key: Column) -> DataFrame:
@@ -83,12 +122,18 @@ def criteria(entries: DataFrame) -> DataFrame:
     )
 
 
+def checksum_mark() -> Column:
+    """What tells equal names apart."""
+    return F.concat(F.lit("_c"), F.lpad(F.hex("crc32"), 8, "0"))
+
+
 def plan_import(decoded: DataFrame, catalog: DataFrame | None) -> tuple[DataFrame, DataFrame]:
     """(catalog after the import, accounting by outcome) of newly decoded entries.
 
     Every decoded file ends in exactly one outcome: rejected, duplicate (of a new file or
     of the catalog), not the best version, or added; the counts add up to the input.
     """
+    decoded = settled(decoded)  # files are decoded once, whatever follows
     keys = ["file_size", "crc32", "sha256"]
     ok = decoded.filter("status = 'ok'")
     groups = exact_groups(ok, keys, "path").withColumnRenamed("paths", "original_paths")
@@ -112,15 +157,10 @@ def plan_import(decoded: DataFrame, catalog: DataFrame | None) -> tuple[DataFram
     paths = F.array_sort(F.array_union(F.array_union("original_paths", F.coalesce("more", none)), F.coalesce("lost", none)))
     body = body.withColumn("original_paths", paths).drop("more", "lost")
     style = effective_style(F.col("typo_subfamily"), F.col("style"))
-    base = vault_path(F.col("display_name"), style, F.col("version"), F.col("glyph_count"), F.lit(""))
-    base = F.concat(F.regexp_replace(base, r"\.$", ""), F.lit("."), F.col("ext"))
+    base = vault_path(F.col("display_name"), style, F.col("version"), F.col("glyph_count"), F.col("ext"))
     # Old entries keep their paths; new ones give way to them.
     placed = body.withColumn("_base", F.when(F.col("is_existing"), F.col("vault_path")).otherwise(base)).withColumn("_order", F.concat(F.when(F.col("is_existing"), "0").otherwise("1"), F.col("path")))
-    crc = F.concat(F.lit("_c"), F.lpad(F.hex("crc32"), 8, "0"))
-    stem = placed.withColumn("_stem", F.regexp_replace("_base", r"\.[^.]+$", ""))
-    stem = resolve_collisions(stem, "_base", F.lit("\0"), "_order")
-    clash = F.col("target") != F.col("_base")
-    named = stem.withColumn("vault_path", F.when(clash, F.concat("_stem", crc, F.lit("."), F.col("ext"))).otherwise(F.col("_base")))
+    named = resolve_collisions(placed, "_base", checksum_mark(), "_order").withColumn("vault_path", F.col("target"))
     after = named.select(*shape, "path", "vault_path")
 
     duplicates = ok.agg(F.count(F.lit(1)).alias("n")).join(records.agg(F.count(F.lit(1)).alias("m"))).select(F.lit("duplicate of new").alias("outcome"), (F.col("n") - F.col("m")).alias("n"))
@@ -136,17 +176,16 @@ def plan_repair(files: DataFrame) -> DataFrame:
     """delete, move or keep for each decoded file of a vault, and the target; distinct assets are never removed."""
     style = effective_style(F.col("typo_subfamily"), F.col("style"))
     base = vault_path(F.col("display_name"), style, F.col("version"), F.col("glyph_count"), F.col("ext"))
-    firsts = files.join(files.groupBy("sha256").agg(F.min("path").alias("path")), ["sha256", "path"], "left_semi")
-    crc = F.concat(F.lit("_c"), F.lpad(F.hex("crc32"), 8, "0"))
-    named = resolve_collisions(firsts.withColumn("_base", base), "_base", crc, "path").select("sha256", "target")
-    return repair_plan(files.join(named, "sha256"), "path", "sha256", "target")
+    firsts = with_group(files, ["sha256"], F.col("path"), {"_least": ("min", "path")}).filter("path = _least").drop("_least")
+    # In the order of their paths without regard to case.
+    named = resolve_collisions(firsts.withColumns({"_base": base, "_order": F.concat(F.upper("path"), F.lit("\0"), F.col("path"))}), "_base", checksum_mark(), "_order").select("sha256", "target")
+    return repair_plan(to_group(files, named, ["sha256"], F.col("path")), "path", "sha256", "target")
 
 
 def export_plan(entries: DataFrame, folder: str) -> DataFrame:
     """(src, dst) of entries to copy into a folder; names that would repeat get a checksum."""
     base = F.regexp_extract("vault_path", r"([^/]+)$", 1)
-    crc = F.concat(F.lit("_c"), F.lpad(F.hex("crc32"), 8, "0"))
-    named = resolve_collisions(entries.withColumn("_base", base), "_base", crc, "vault_path")
+    named = resolve_collisions(entries.withColumn("_base", base), "_base", checksum_mark(), "vault_path")
     return named.select(F.col("vault_path").alias("src"), F.concat(F.lit(folder.rstrip("/") + "/"), F.col("target")).alias("dst"))
 
 
@@ -171,32 +210,98 @@ def installed_listing(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return own.filter("marker is not null").select(F.col("marker").alias("crc32")), own.filter("marker is null").select(F.octet_length(raw).cast("bigint").alias("file_size"), F.crc32(raw).alias("crc32"))
 
 
-def copy_files(plan: DataFrame) -> DataFrame:
-    """Carries out a (src, dst) plan on the executors, by way of a temporary name; (src, dst, outcome) rows.
+def _checksum(path: str) -> int:
+    import zlib
 
-    Existing targets of the same size are left alone, so a repeated or retried run is safe.
-    """
+    crc = 0
+    with open(path, "rb") as f:
+        while part := f.read(1 << 20):
+            crc = zlib.crc32(part, crc)
+    return crc
 
-    def run(batches):
-        import os
-        import shutil
 
-        import pyarrow as pa
+def _carried_out(plan: DataFrame, act) -> DataFrame:
+    """act(row) on the executors for each row; (its columns, outcome)."""
 
+    def run(batches):
         for b in batches:
             out = []
-            for src, dst in zip(b.column("src").to_pylist(), b.column("dst").to_pylist(), strict=True):
+            for row in b.to_pylist():
                 try:
-                    if os.path.exists(dst):
-                        out.append("present" if os.path.getsize(dst) == os.path.getsize(src) else "other file in the way")
-                        continue
-                    os.makedirs(os.path.dirname(dst), exist_ok=True)
-                    draft = f"{dst}.{uuid.uuid4().hex}.part"
-                    shutil.copyfile(src, draft)
-                    os.replace(draft, dst)
-                    out.append("copied")
+                    out.append(act(row))
                 except OSError as e:
                     out.append(f"failed: {e}")
-            yield pa.RecordBatch.from_arrays([b.column("src"), b.column("dst"), pa.array(out, pa.string())], names=["src", "dst", "outcome"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], names=[*b.schema.names, "outcome"])
+
+    return plan.mapInArrow(run, ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in plan.schema.fields] + ["outcome string"]))
+
+
+def copy_files(plan: DataFrame) -> DataFrame:
+    """Carries out a (src, dst) plan on the executors, by way of a temporary name; (src, dst, outcome) rows.
+
+    Existing targets of the same size and checksum are left alone, so a repeated or retried
+    run is safe; others are in the way and stay as they are.
+    """
+
+    def act(row) -> str:
+        src, dst = row["src"], row["dst"]
+        if os.path.exists(dst):
+            same = os.path.getsize(dst) == os.path.getsize(src) and _checksum(dst) == _checksum(src)
+            return "present" if same else "other file in the way"
+        os.makedirs(os.path.dirname(dst), exist_ok=True)
+        draft = f"{dst}.{uuid.uuid4().hex}.part"
+        shutil.copyfile(src, draft)
+        os.replace(draft, dst)
+        return "copied"
 
-    return plan.select("src", "dst").mapInArrow(run, "src string, dst string, outcome string")
+    return _carried_out(plan.select("src", "dst"), act)
+
+
+def apply_repair(plan: DataFrame, root: str, staging: str) -> DataFrame:
+    """Carries out a repair plan (path, action, target relative to root): (path, action, outcome) rows.
+
+    Duplicates are deleted.  Files move in two phases by way of a staging folder, so that
+    occupied targets and swaps cannot clash; a file whose target is taken by then goes back.
+    Folders of the root that are left empty go.  What was done before is done again without
+    harm: a staged file is found under the name that its path gives it.
+    """
+    place = lambda path: os.path.join(staging, hashlib.sha256(path.encode()).hexdigest())
+
+    def leave(row) -> str:
+        if row["action"] == "keep":
+            return "kept"
+        if row["action"] == "delete":
+            if os.path.exists(row["path"]):
+                os.remove(row["path"])
+            return "deleted"
+        os.makedirs(staging, exist_ok=True)
+        if os.path.exists(row["path"]):
+            os.replace(row["path"], place(row["path"]))
+        return "staged"
+
+    def arrive(row) -> str:
+        if row["left"] != "staged":
+            return row["left"]
+        target, at = os.path.join(root, row["target"]), place(row["path"])
+        if not os.path.exists(at):
+            return "moved" if os.path.exists(target) else "failed: neither staged nor moved"
+        if os.path.exists(target):
+            os.replace(at, row["path"])
+            return "failed: the target is taken"
+        os.makedirs(os.path.dirname(target), exist_ok=True)
+        os.replace(at, target)
+        return "moved"
+
+    left = settled(_carried_out(plan.select("path", "action", "target"), leave).withColumnRenamed("outcome", "left"))
+    done = settled(_carried_out(left, arrive))
+    for folder, _, _ in sorted(os.walk(root, topdown=False), reverse=True):
+        if folder != root and not os.listdir(folder):
+            os.rmdir(folder)
+    return done.select("path", "action", "outcome")
+
+
+def counted(decoded: DataFrame) -> tuple[DataFrame, Observation]:
+    """decoded with live counters: processed, errors and bytes are there once an action on it has run."""
+    seen = Observation()
+    bad = F.col("status") != "ok"
+    return decoded.observe(seen, F.count(F.lit(1)).alias("processed"), F.count(F.when(bad, 1)).alias("errors"), F.coalesce(F.sum("file_size"), F.lit(0)).alias("bytes")), seen

@@ -6,8 +6,11 @@ shape: documents stand for contents, parts for variants of a family, and so on.
 
 from __future__ import annotations
 
+import struct
+import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +18,9 @@ from lithos.functions import intervals as iv
 from lithos.functions import names as fn
 from lithos.operators import dedup, placement, records, search, selection
 from lithos.plans import catalog
+from lithos.sources import files, samples
+from lithos.sources.settings import toggled
+from lithos.storage import shared_dir
 from lithos.streaming import incremental
 from lithos.tables import table
 
@@ -172,8 +178,13 @@ def visible_total(spark, sf_dir):
     return search.visible_total(table(spark, sf_dir, "part"), search.Request(needle="Large"), ["p_name", "p_type"])
 
 
-_LICENCE = f"""CASE WHEN {" OR ".join(f"contains(lower(text), '{w}')" for w in fn.FREE_WORDING)} THEN 'Free' WHEN doc_id % 50 = 7 THEN 'Paid'
-    WHEN {" OR ".join(f"contains(lower(text), '{w}')" for w in fn.PAID_WORDING)} THEN 'Paid' ELSE 'Unknown' END"""
+# The wording, stated apart from the engine's lists.
+_LICENCE = """CASE WHEN len(list_filter(['open font license', 'openfontlicense', 'ofl.txt', 'scripts.sil.org/ofl', 'apache license', 'gnu general public',
+        'gnu lesser general public', 'gpl', 'ubuntu font licence', 'ubuntu font license', 'creative commons', 'cc0', 'public domain', 'mit license',
+        'the unlicense', 'wtfpl'], lambda x: contains(lower(text), x))) > 0 THEN 'Free' WHEN doc_id % 50 = 7 THEN 'Paid'
+    WHEN len(list_filter(['all rights reserved', 'may not be', 'is not permitted', 'without permission', 'commercial', 'purchase', 'eula',
+        'end user license', 'end-user license', 'license agreement', 'licensed to', 'proprietary', 'unauthorized', 'unauthorised', 'is prohibited'],
+        lambda x: contains(lower(text), x))) > 0 THEN 'Paid' ELSE 'Unknown' END"""
 
 
 @query(f"SELECT doc_id, {_LICENCE} AS licence FROM documents")
@@ -209,15 +220,26 @@ def version_number(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", fn.version_number(F.col("url")).alias("version"))
 
 
-@query("""WITH b AS (SELECT c_custkey, substr(c_name, 1, 16) AS base, '_c' || (c_custkey % 3) AS suffix FROM customer),
-    n AS (SELECT *, row_number() OVER (PARTITION BY upper(base) ORDER BY c_custkey) AS n FROM b),
-    m AS (SELECT *, CASE WHEN n > 1 THEN base || suffix END AS second FROM n),
-    o AS (SELECT *, row_number() OVER (PARTITION BY upper(second) ORDER BY c_custkey) AS m FROM m)
-    SELECT c_custkey, CASE WHEN n = 1 THEN base WHEN m = 1 THEN second ELSE second || '_' || m END AS target FROM o""")
+#: One file named after the other, in the order of its key, against the names used so far.
+_NAMED = """WITH RECURSIVE b AS (SELECT c_custkey, c_custkey // 40 AS g, row_number() OVER (PARTITION BY c_custkey // 40 ORDER BY c_custkey) AS n,
+        CASE WHEN c_custkey % 2 = 0 THEN 'Group' || c_custkey // 40 ELSE 'GROUP' || c_custkey // 40 || CASE WHEN c_custkey % 3 = 0 THEN '_c' || c_custkey % 5 ELSE '' END END AS stem,
+        '_c' || c_custkey % 5 AS suffix FROM customer),
+    o AS (SELECT g, n, stem || '.otf' AS name, 0 AS at FROM b UNION ALL SELECT g, n, stem || suffix || '.otf', 1 FROM b
+          UNION ALL SELECT g, n, stem || suffix || '_' || k || '.otf', k FROM b, (SELECT unnest(range(2, 42)) AS k)),
+    w(g, n, used, target) AS (SELECT DISTINCT g, CAST(0 AS BIGINT), CAST([] AS VARCHAR[]), '' FROM b
+        UNION ALL SELECT g, n + 1, list_append(used, upper(name)), name FROM (
+            SELECT w.g, w.n, w.used, arg_min(o.name, o.at) AS name FROM w JOIN o ON o.g = w.g AND o.n = w.n + 1 AND NOT list_contains(w.used, upper(o.name)) GROUP BY ALL))
+    SELECT c_custkey, target FROM b JOIN w USING (g, n)"""
+
+
+@query(_NAMED)
 def path_collision(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").select("c_custkey", F.substring("c_name", 1, 16).alias("base"))
-    suffix = F.concat(F.lit("_c"), (F.col("c_custkey") % 3).cast("string"))
-    return placement.resolve_collisions(c, "base", suffix, "c_custkey").select("c_custkey", "target")
+    """Forty customers a group, whose names differ in case or are others' names with a suffix."""
+    c = table(spark, sf_dir, "customer").withColumn("no", F.floor(F.col("c_custkey") / 40).cast("string"))
+    marked = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("_c"), (F.col("c_custkey") % 5).cast("string"))).otherwise("")
+    base = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("Group"), "no")).otherwise(F.concat(F.lit("GROUP"), "no", marked))
+    suffix = F.concat(F.lit("_c"), (F.col("c_custkey") % 5).cast("string"))
+    return placement.resolve_collisions(c.select("c_custkey", F.concat(base, F.lit(".otf")).alias("base")), "base", suffix, "c_custkey").select("c_custkey", "target")
 
 
 @query("""SELECT doc_id, CAST((length(text) > 0)::INT + (length(lang) > 0)::INT + (length(source) > 0)::INT + (quality IS NOT NULL)::INT AS INT) AS score
@@ -239,21 +261,20 @@ _POINTS = "p AS (SELECT DISTINCT doc_id, unnest(list_transform(string_split(text
 _RUNS = f"{_POINTS}, q AS (SELECT doc_id, cp, cp - row_number() OVER (PARTITION BY doc_id ORDER BY cp) AS k FROM p), i AS (SELECT doc_id, CAST(min(cp) AS INT) AS \"start\", CAST(max(cp) AS INT) AS \"end\" FROM q GROUP BY doc_id, k)"
 
 
-def _points(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    # Distinct within the row first: a text has few distinct characters, so little is exploded.
-    return d.select("doc_id", F.explode(fn.distinct_codepoints(F.col("text"))).alias("cp"))
+def _coverage(spark, sf_dir):
+    """(doc_id, coverage) of documents with text, within the row: nothing is shuffled."""
+    d = table(spark, sf_dir, "documents").filter(F.length("text") > 0)
+    return d.select("doc_id", iv.runs_of(fn.distinct_codepoints(F.col("text"))).alias("coverage"))
 
 
 @query(f"WITH {_RUNS} SELECT doc_id, \"start\", \"end\" FROM i")
 def codepoint_intervals(spark, sf_dir):
-    return iv.runs(_points(spark, sf_dir), ["doc_id"], "cp").select("doc_id", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"))
+    return _coverage(spark, sf_dir).select("doc_id", F.inline("coverage"))
 
 
 @query(f"WITH {_RUNS} SELECT doc_id, CAST(sum(\"end\" - \"start\" + 1) AS BIGINT) AS covered FROM i GROUP BY doc_id")
 def coverage_count(spark, sf_dir):
-    coverage = codepoint_intervals(spark, sf_dir).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("c"))
-    return coverage.select("doc_id", iv.covered(F.col("c")).alias("covered"))
+    return _coverage(spark, sf_dir).select("doc_id", iv.covered(F.col("coverage")).alias("covered"))
 
 
 _BLOCKS = "bl(block_start, block_end, block) AS (VALUES " + ", ".join(f"({a}, {b}, '{n}')" for a, b, n in iv.BLOCKS) + ")"
@@ -262,25 +283,26 @@ _COVER = f"{_RUNS}, {_BLOCKS}, d AS (SELECT DISTINCT doc_id FROM i), c AS (SELEC
 
 @query(f"WITH {_COVER} SELECT doc_id, block_start, block, size, present FROM c")
 def block_coverage(spark, sf_dir):
-    return iv.block_coverage(codepoint_intervals(spark, sf_dir), iv.blocks(spark), ["doc_id"])
+    return _coverage(spark, sf_dir).select("doc_id", F.inline(iv.presence(F.col("coverage"))))
 
 
 @query(f"WITH {_COVER} SELECT doc_id, arg_min(block, (CASE WHEN present = 0 THEN 1 ELSE 0 END) * 10000000 + block_start) AS block FROM c GROUP BY doc_id")
 def first_block(spark, sf_dir):
-    return iv.first_block(block_coverage(spark, sf_dir), ["doc_id"])
+    counts = iv.presence(F.col("coverage"))
+    first = F.array_min(F.transform(counts, lambda c: F.struct((c["present"] == 0).alias("empty"), c["block_start"].alias("block_start"), c["block"].alias("block"))))
+    return _coverage(spark, sf_dir).select("doc_id", first["block"].alias("block"))
 
 
 @query("SELECT doc_id, contains(text, 'é') AS has_e_acute FROM documents WHERE length(text) > 0")
 def point_in_interval(spark, sf_dir):
-    coverage = codepoint_intervals(spark, sf_dir).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("c"))
-    return coverage.select("doc_id", iv.contains_point(F.col("c"), F.lit(0xE9)).alias("has_e_acute"))
+    return _coverage(spark, sf_dir).select("doc_id", iv.contains_point(F.col("coverage"), F.lit(0xE9)).alias("has_e_acute"))
 
 
 @query(f"""WITH {_POINTS}, r AS (SELECT doc_id, cp, row_number() OVER (PARTITION BY doc_id ORDER BY cp) - 1 AS k FROM p)
     SELECT doc_id, CAST(k // 16 AS INT) AS row_no, array_to_string(list_resize(list(cp ORDER BY cp), 16, -1), ',') AS cells FROM r GROUP BY doc_id, k // 16""")
 def grid_rows(spark, sf_dir):
-    rows = iv.grid(_points(spark, sf_dir), ["doc_id"], "cp")
-    return rows.select("doc_id", "row_no", F.array_join(F.col("cells").cast("array<string>"), ",").alias("cells"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(iv.rows_of(fn.distinct_codepoints(F.col("text")))).alias("row_no", "cells"))
+    return d.select("doc_id", "row_no", F.array_join(F.col("cells").cast("array<string>"), ",").alias("cells"))
 
 
 @query("""WITH s AS (SELECT user_id, CAST(floor(epoch(ts) / 60) AS BIGINT) AS a, CAST(floor(epoch(ts) / 60) AS BIGINT) + CAST(floor(value) AS BIGINT) % 240 AS b FROM events),
@@ -394,25 +416,233 @@ def event_windows(spark, sf_dir):
 @query("SELECT source, count(*) AS n, string_agg(DISTINCT lang, ',' ORDER BY lang) AS langs FROM documents GROUP BY source")
 def import_available_now(spark, sf_dir):
     """Documents through a checkpointed stream that takes what is there and stops."""
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        import tempfile
-
-        base = f"file://{tempfile.mkdtemp(prefix='lithos-')}"
-    at = f"{base.rstrip('/')}/import-{uuid.uuid4().hex}"
+    at = f"{shared_dir(spark).rstrip('/')}/import-{uuid.uuid4().hex}"
     path = f"{sf_dir.rstrip('/')}/documents.parquet"
     schema = spark.read.parquet(path).schema
-    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 64).parquet(path if path.startswith("viewfs") else _folder_glob(path))
+    # A stream lists a folder or a pattern, not one plain file; this pattern is the path itself.
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 64).parquet(f"{path[:-1]}[{path[-1]}]")
     run = source.select("doc_id", "lang", "source").writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start()
     run.awaitTermination()
     rows = spark.read.parquet(f"{at}/out")
     return rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_set("lang")), ",").alias("langs"))
 
 
-def _folder_glob(path: str) -> str:
-    return path + "*"  # a stream lists a folder or a pattern, not one plain file
+@query("SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN p_type ELSE p_brand END AS style, CASE WHEN p_size % 4 = 0 THEN 'Regular' ELSE p_type END AS filled FROM part")
+def effective_styles(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    sub, own = F.when(F.col("p_size") % 3 == 0, "").otherwise(F.col("p_brand")), F.when(F.col("p_size") % 4 == 0, "").otherwise(F.col("p_type"))
+    return part.select("p_partkey", fn.effective_style(sub, F.col("p_type")).alias("style"), fn.style_or_regular(own).alias("filled"))
+
+
+_EXTS = ("otf", "TTF", "woff2", "Woff", "eot", "pdf", "")
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 7 WHEN 0 THEN 'otf' WHEN 1 THEN 'ttf' WHEN 2 THEN 'woff2' WHEN 3 THEN 'woff' WHEN 4 THEN 'eot' END AS ext,
+    CASE p_partkey % 7 WHEN 0 THEN 5 WHEN 1 THEN 4 WHEN 2 THEN 3 WHEN 3 THEN 2 WHEN 4 THEN 1 ELSE 0 END AS priority FROM part""")
+def extensions(spark, sf_dir):
+    ext = F.element_at(F.array(*[F.lit(e) for e in _EXTS]), (F.col("p_partkey") % 7 + 1).cast("int"))
+    path = F.concat(F.lit("a.b/"), "p_name", F.when(ext == "", "").otherwise(F.concat(F.lit("."), ext)))
+    return table(spark, sf_dir, "part").select("p_partkey", fn.known_extension(path).alias("ext"), fn.format_priority(ext).alias("priority"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 4 = 3 THEN NULL WHEN p_size % 2 = 0 THEN p_name WHEN p_size % 3 = 0 THEN p_brand ELSE p_type END AS shown FROM part")
+def display_names(spark, sf_dir):
+    size, some = F.col("p_size"), F.col("p_size") % 4 != 3
+    shown = fn.display_name(F.when(size % 2 == 0, F.col("p_name")).otherwise(""), F.when(some & (size % 3 == 0), F.col("p_brand")), F.when(some, F.col("p_type")).otherwise(""))
+    return table(spark, sf_dir, "part").select("p_partkey", shown.alias("shown"))
+
+
+@query("""SELECT p_partkey, CASE p_size % 8 WHEN 0 THEN 600 WHEN 1 THEN 900 WHEN 2 THEN 700 WHEN 3 THEN 200 WHEN 4 THEN 300 WHEN 5 THEN 100 WHEN 6 THEN 800 ELSE 400 END AS weight,
+    p_size % 8 IN (0, 1, 2, 6) AS bold FROM part""")
+def declared_weights(spark, sf_dir):
+    word = F.element_at(F.array(*[F.lit(w) for w in ("DemiBold", "Black", "Bold", "UltraLight", "Light", "Thin", "ExtraBold", "Book")]), (F.col("p_size") % 8 + 1).cast("int"))
+    return table(spark, sf_dir, "part").select("p_partkey", fn.declared_weight(word).alias("weight"), fn.is_bold(word).alias("bold"))
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN '#' || c_custkey WHEN c_custkey % 256 <= 32 OR c_custkey % 256 BETWEEN 127 AND 160 THEN 'U+' || printf('%04X', c_custkey % 256) ELSE chr(CAST(c_custkey % 256 AS INT)) END AS label,
+    c_name || ' - U+' || printf('%04X', c_custkey) || '..U+' || printf('%04X', c_custkey + 15) || ' (' || c_custkey % 16 || '/16)' AS block, CASE WHEN c_custkey % 3 = 0 THEN '#' ELSE 'C' END AS chip FROM customer""")
+def labels_shown(spark, sf_dir):
+    key = F.col("c_custkey")
+    label = fn.glyph_label(F.when(key % 5 != 0, (key % 256).cast("int")), key)
+    block = F.replace(fn.block_label(F.col("c_name"), key, key + 15, key % 16), F.lit("\u2014"), F.lit("-"))
+    return table(spark, sf_dir, "customer").select("c_custkey", label.alias("label"), block.alias("block"), fn.chip_letter(F.when(key % 3 != 0, F.lower("c_name")).otherwise("")).alias("chip"))
+
+
+@query("SELECT p_partkey, p_size % 3 <> 0 AS has FROM part")
+def has_ligatures(spark, sf_dir):
+    tags = F.array(F.lit("kern"), F.when(F.col("p_size") % 3 == 1, "dlig").when(F.col("p_size") % 3 == 2, "liga").otherwise("smcp"))
+    return table(spark, sf_dir, "part").select("p_partkey", fn.has_ligatures(tags).alias("has"))
+
+
+@query("""WITH l AS (SELECT l_suppkey, l_returnflag AS tag, l_linenumber AS glyph, l_linestatus AS components, l_orderkey * 10 + l_linenumber AS ord FROM lineitem),
+    f AS (SELECT l_suppkey, tag, row_number() OVER (PARTITION BY l_suppkey, glyph, components ORDER BY ord, tag) AS k FROM l)
+    SELECT l_suppkey, tag, count(*) FILTER (k = 1) AS new_ligatures FROM f GROUP BY ALL""")
+def new_ligatures(spark, sf_dir):
+    key = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    rows = table(spark, sf_dir, "lineitem").select("l_suppkey", F.col("l_returnflag").alias("tag"), F.col("l_linenumber").alias("glyph"), F.col("l_linestatus").alias("components"), key.alias("ord"))
+    return records.new_ligatures(rows, ["l_suppkey"])
+
+
+@query("SELECT upper(p_brand) AS family_key, min(p_brand) AS family, count(*) AS variants, max(p_size) AS max_glyphs FROM part GROUP BY 1 ORDER BY 3 DESC, 1 LIMIT 1")
+def first_family(spark, sf_dir):
+    """The family that is selected at first: a limit is the feature."""
+    return search.first_family(search.families(table(spark, sf_dir, "part"), "p_brand", "p_size", "p_partkey"), "variants")
+
+
+@query("SELECT p_partkey FROM part WHERE p_name || '.otf' IN (SELECT p_name || '.otf' FROM part WHERE p_size % 2 = 0)")
+def drag_paths(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    path = F.concat("p_name", F.lit(".otf"))
+    return placement.still_there(part.select("p_partkey", path.alias("at")), part.filter("p_size % 2 = 0").select(path.alias("path")), "at").select("p_partkey")
+
+
+@query("SELECT p_partkey FROM part WHERE p_type LIKE '%TIN%' AND p_size % 4 = 1")
+def search_licence(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").withColumn("licence", F.when(F.col("p_size") % 4 == 1, "Free").otherwise("Paid"))
+    return search.matching(rows, search.Request(needle="tin", licence="Free"), ["p_type"]).select("p_partkey")
+
+
+@query("SELECT count(*) FILTER (p_partkey % 7 = 0 AND p_size % 4 = 1 AND contains(lower(p_type), 'o')) AS visible, count(*) AS total FROM part")
+def visible_combined(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").withColumns({"is_variable": F.col("p_partkey") % 7 == 0, "licence": F.when(F.col("p_size") % 4 == 1, "Free").otherwise("Paid")})
+    return search.visible_total(rows, search.Request(needle="o", licence="Free", variable_only=True), ["p_type"])
+
+
+@query("SELECT family FROM (SELECT DISTINCT p_brand AS family FROM part WHERE p_size % 2 = 0) WHERE family NOT IN (SELECT p_brand FROM part WHERE p_size = 7) UNION SELECT p_brand FROM part WHERE p_size = 7 AND p_brand NOT IN (SELECT p_brand FROM part WHERE p_size % 2 = 0)")
+def favourites_toggled(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    return toggled(part.filter("p_size % 2 = 0").select(F.col("p_brand").alias("family")).distinct(), part.filter("p_size = 7").select(F.col("p_brand").alias("family")).distinct())
+
+
+@query("SELECT count(*) AS processed, count(*) FILTER (length(text) > 4000) AS errors, CAST(sum(n_chars) AS BIGINT) AS bytes FROM documents")
+def live_counters(spark, sf_dir):
+    """Counters that an action on other rows leaves behind."""
+    d = table(spark, sf_dir, "documents").select(F.when(F.length("text") > 4000, "rejected").otherwise("ok").alias("status"), F.col("n_chars").alias("file_size"))
+    rows, seen = catalog.counted(d)
+    rows.write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([tuple(seen.get[k] for k in ("processed", "errors", "bytes"))], "processed bigint, errors bigint, bytes bigint")
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN 'asset' WHEN 1 THEN 'asset' WHEN 2 THEN 'sidecar' WHEN 3 THEN 'archive' WHEN 4 THEN 'archive' WHEN 5 THEN 'asset' ELSE 'ignore' END AS route FROM part""")
+def file_routes(spark, sf_dir):
+    name = F.element_at(F.array(*[F.lit(n) for n in ("x.TTF", ".y/_z.woff2", "._x.ttf", "a.ZIP", "b.7z", "c.pfb", "note.txt", "ttf")]), (F.col("p_partkey") % 8 + 1).cast("int"))
+    return files.routed(table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("/in/"), name).alias("path"))).select("p_partkey", "route")
+
+
+def _wrapped(kind: str, key: int, tables: dict) -> tuple[str, bytes]:
+    """(path, content) of an asset with the given tables in a container."""
+    font = samples.sfnt(tables)
+    if kind == "woff":
+        return f"{key}.woff", samples.woff(tables, packed=key % 2 == 0)
+    if kind == "eot":
+        return f"{key}.eot", samples.eot(font, xor=key % 2 == 0)
+    if kind == "szdd":
+        return f"{key}.ttf", samples.szdd(font)
+    if kind == "zip":
+        return f"{key}.zip", samples.zipped([("a/b.ttf", font), ("readme.txt", b"x"), ("._b.ttf", font), ("../c.ttf", font)])
+    return f"{key}.ttf", font
+
+
+def _tables(key: int, name: str, kind: str, size: int) -> dict:
+    """The tables of a part: names, glyphs and code points by its columns; every other one is variable."""
+    licence = ("under the SIL Open Font License", "All rights reserved", "")[size % 3]
+    names = [(1, 0, 0, 1, "never"), (3, 1, 0x409, 1, name), (3, 1, 0x409, 2, kind), (3, 1, 0x409, 5, f"Version {size}.5"), (3, 1, 0x409, 13, licence)]
+    cmap = samples.cmap_table([(3, 1, samples.cmap4([(65, 66, 0)])), (3, 10, samples.cmap12([(65, 65 + size % 26, 1), (0x1F600, 0x1F600, 90)]))])
+    more = {}
+    if key % 2:
+        more["fvar"] = struct.pack(">IHHHHHH", 0x00010000, 16, 2, 1, 20, 0, 0) + b"wght" + struct.pack(">3iHH", 100 << 16, size << 16, 900 << 16, 0, 0)
+    if size % 2:
+        more["GSUB"] = samples.gsub_table([("liga", [0]), ("kern", [0])], [(4, samples.ligature_sub(5, [(9, [6])]))])
+    return samples.tables(names, size, cmap=cmap, **more)
+
+
+def _built(spark, sf_dir, kind: str):
+    """Decoded assets, one container for each part."""
+
+    def build(batches):
+        for b in batches:
+            rows = [_wrapped(kind, r["p_partkey"], _tables(r["p_partkey"], r["p_name"], r["p_type"], r["p_size"])) for r in b.to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows]), pa.array([c for _, c in rows], pa.binary())], names=["path", "content"])
+
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("bigint"), "p_name", "p_type", F.col("p_size").cast("int"))
+    rows = files.decoded(files.routed(part.mapInArrow(build, "path string, content binary")))
+    return rows.withColumn("p_partkey", F.regexp_extract("path", r"^([0-9]+)", 1).cast("bigint"))
+
+
+_RECORD = """p_partkey, p_name AS display_name, p_type AS style, p_size || '.5' AS version, CAST(p_size AS INT) AS glyph_count, p_size % 26 + 2 AS covered, 3 AS score,
+    CASE p_size % 3 WHEN 0 THEN 'Free' WHEN 1 THEN 'Paid' ELSE 'Unknown' END AS licence, p_partkey % 2 = 1 AS is_variable, 'TrueType' AS outline"""
+
+
+def _record(rows):
+    return rows.select("p_partkey", "display_name", "style", "version", "glyph_count", iv.covered(F.col("coverage")).alias("covered"), F.col("metadata_score").alias("score"), F.col("license").alias("licence"), "is_variable", "outline", "ext")
+
+
+@query(f"SELECT {_RECORD}, 'ttf' AS ext FROM part")
+def decode_plain(spark, sf_dir):
+    return _record(_built(spark, sf_dir, "plain"))
+
+
+@query(f"SELECT {_RECORD}, 'woff' AS ext FROM part")
+def decode_woff(spark, sf_dir):
+    return _record(_built(spark, sf_dir, "woff"))
+
+
+@query(f"SELECT {_RECORD}, 'eot' AS ext FROM part")
+def decode_eot(spark, sf_dir):
+    return _record(_built(spark, sf_dir, "eot"))
+
+
+@query(f"SELECT {_RECORD}, 'ttf' AS ext FROM part")
+def decode_szdd(spark, sf_dir):
+    return _record(_built(spark, sf_dir, "szdd"))
+
+
+@query("SELECT p_partkey, p_partkey || '.zip!a/b.ttf' AS path, 'ok' AS status, p_name AS display_name, NULL AS error FROM part UNION ALL SELECT p_partkey, p_partkey || '.zip!../c.ttf', 'rejected', NULL, 'path leaves the archive' FROM part")
+def decode_zip(spark, sf_dir):
+    return _built(spark, sf_dir, "zip").select("p_partkey", "path", "status", "display_name", "error")
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 2 = 1 THEN 'wght 100 ' || p_size || ' 900' ELSE '' END AS axes, CASE WHEN p_size % 2 = 1 THEN 'liga,kern' ELSE '' END AS features, p_size % 2 = 1 AS ligatures FROM part")
+def decode_axes_features(spark, sf_dir):
+    whole = lambda x: x.cast("int").cast("string")
+    axes = F.array_join(F.transform("axes", lambda a: F.concat_ws(" ", a["tag"], whole(a["min"]), whole(a["default"]), whole(a["max"]))), ",")
+    return _built(spark, sf_dir, "plain").select("p_partkey", axes.alias("axes"), F.array_join("features", ",").alias("features"), fn.has_ligatures(F.col("features")).alias("ligatures"))
+
+
+@query("SELECT p_partkey, 'Old ' || p_partkey AS display_name, 'Bold Italic' AS style, '3.5' AS version, 3 AS glyph_count, 2 AS covered, 'otf' AS ext FROM part")
+def decode_type1(spark, sf_dir):
+    def build(batches):
+        for b in batches:
+            keys = b.column("p_partkey").to_pylist()
+            kinds = ["pfb" if k % 2 else "pfa" for k in keys]
+            yield pa.RecordBatch.from_arrays([pa.array([f"{k}.{e}" for k, e in zip(keys, kinds, strict=True)]), pa.array([samples.type1(e, f"Old {k}") for k, e in zip(keys, kinds, strict=True)], pa.binary())], names=["path", "content"])
+
+    rows = files.decoded(files.routed(table(spark, sf_dir, "part").select("p_partkey").mapInArrow(build, "path string, content binary")))
+    return rows.select(F.regexp_extract("path", r"^([0-9]+)", 1).cast("bigint").alias("p_partkey"), "display_name", "style", "version", "glyph_count", iv.covered(F.col("coverage")).alias("covered"), "ext")
+
+
+#: Contents that no decoder takes, by kind.
+_BROKEN = (("ttf", b"tiny"), ("ttf", b"nonsense nonsense"), ("ttf", samples.sfnt(version=0x74746366)), ("eot", samples.eot(samples.sfnt(), flags=4)), ("woff", samples.woff()[:60]), ("zip", b"junk that is no archive"), ("rar", b"no reader for this one"), ("otf", samples.szdd(samples.sfnt())[:-9]))
+
+
+@query("SELECT p_partkey, 'rejected' AS status, true AS told, CASE WHEN p_partkey % 8 = 0 THEN 'size out of bounds' WHEN p_partkey % 8 = 6 THEN 'no reader for .rar archives' END AS reason FROM part")
+def decode_rejects(spark, sf_dir):
+    part = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % 8).cast("int").alias("k"))
+    kinds = spark.createDataFrame([(k, e, c) for k, (e, c) in enumerate(_BROKEN)], "k int, e string, content binary")
+    rows = part.join(F.broadcast(kinds), "k").select(F.concat(F.col("p_partkey").cast("string"), F.lit("."), "e").alias("path"), "content")
+    out = files.decoded(files.routed(rows)).withColumn("p_partkey", F.regexp_extract("path", r"^([0-9]+)", 1).cast("bigint"))
+    return out.select("p_partkey", "status", (F.length("error") > 0).alias("told"), F.when((F.col("p_partkey") % 8).isin(0, 6), F.col("error")).alias("reason"))
+
+
+@query("SELECT p_partkey, p_name AS display_name, p_size % 26 + 2 AS covered, p_partkey || '.ttf' AS original FROM part")
+def catalog_round_trip(spark, sf_dir):
+    """Published and loaded again, in catalog order, heavy columns on their own."""
+    root = f"{shared_dir(spark).rstrip('/')}/catalog-{uuid.uuid4().hex}"
+    built = _built(spark, sf_dir, "plain")
+    catalog.publish(built.withColumn("original_paths", F.array("path")).drop("p_partkey"), root)
+    heavy = catalog.heavy(catalog.load(spark, root), F.lit(True)).select("sha256", "coverage", "original_paths")
+    light = catalog.load(spark, root).select("sha256", "display_name", "path")
+    return light.join(heavy, "sha256").select(F.regexp_extract("path", r"^([0-9]+)", 1).cast("bigint").alias("p_partkey"), "display_name", iv.covered(F.col("coverage")).alias("covered"), F.element_at("original_paths", 1).alias("original"))
 
 
 @query(f"""WITH d AS (SELECT min(doc_id) AS doc_id, min_by(lang, doc_id) AS lang, min_by(source, doc_id) AS source, text, count(*) AS copies FROM documents GROUP BY text),

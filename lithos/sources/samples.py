@@ -1,6 +1,8 @@
-"""Minimal synthetic assets."""
+"""Minimal assets of every kind, written from their parts: for the decoder queries and the tests."""
 
+import io
 import struct
+import zipfile
 import zlib
 
 
@@ -37,7 +39,6 @@ def cmap_table(subs):
 
 def gsub_table(features, lookups):
     """features: (tag, lookup numbers); lookups: (kind, subtable bytes)."""
-    fl = b"".join(b"" for _ in ())
     rows, bodies, at = b"", b"", 2 + 6 * len(features)
     for tag, numbers in features:
         rows += tag.encode() + struct.pack(">H", at + len(bodies))
@@ -136,8 +137,17 @@ def encrypt(plain, key=55665):
     return bytes(out)
 
 
-def type1(kind="pfb"):
-    clear = b"%!PS-AdobeFont-1.0: Old\n/FontName /Old-Bold def\n/FamilyName (Old) readonly def\n/Weight (Bold) def /ItalicAngle -12.0 def /version (3.5) def\ncurrentfile eexec\n"
+def zipped(members):
+    """members: (name, bytes)."""
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name, raw in members:
+            z.writestr(name, raw)
+    return out.getvalue()
+
+
+def type1(kind="pfb", family="Old"):
+    clear = b"%!PS-AdobeFont-1.0: Old\n/FontName /Old-Bold def\n/FamilyName (" + family.encode() + b") readonly def\n/Weight (Bold) def /ItalicAngle -12.0 def /version (3.5) def\ncurrentfile eexec\n"
     private = b"/CharStrings 3 dict dup begin\n/.notdef 1 RD x ND\n/A 1 RD x ND\n/eacute 1 RD x ND\nend"
     hidden = encrypt(private)
     if kind == "pfb":

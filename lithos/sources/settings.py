@@ -28,3 +28,9 @@ def toggled(favourites: DataFrame, names: DataFrame) -> DataFrame:
 def read_settings(spark: SparkSession, path: str) -> dict[str, str]:
     lines = [r["value"].strip() for r in spark.read.text(path, wholetext=False).limit(len(SETTINGS)).collect()]
     return dict(zip(SETTINGS, lines + [""] * len(SETTINGS), strict=False))
+
+
+def write_settings(spark: SparkSession, settings: dict[str, str], path: str) -> None:
+    """One line a setting, in their order; missing ones are empty."""
+    lines = "\n".join(settings.get(k, "").replace("\n", " ") for k in SETTINGS)
+    spark.createDataFrame([(lines,)], "value string").coalesce(1).write.mode("overwrite").text(path)

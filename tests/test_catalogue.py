@@ -9,9 +9,10 @@ from lithos.operators import placement, records, selection
 from lithos.operators.dedup import union_ignoring_case
 from lithos.plans import catalog
 from lithos.sources.files import decoded, read_trees, routed
-from lithos.sources.settings import read_favourites, toggled, write_favourites
+from lithos.operators.skew import to_group, with_group
+from lithos.sources.settings import read_favourites, read_settings, toggled, write_favourites, write_settings
 from lithos.streaming import incremental
-from tests import assets as a
+from lithos.sources import samples as a
 
 
 def one(spark, column):
@@ -94,10 +95,117 @@ def test_additive_selection_equals_the_loop(spark):
         assert sorted(got.get(g, [])) == sequential(own), own
 
 
-def test_collisions_and_repair(spark):
-    df = spark.createDataFrame([("a", 1), ("A", 2), ("a", 3), ("b", 4)], "base string, ord int")
+def one_after_the_other(rows):
+    """Names given in order against the set of those used so far."""
+    used, out = set(), {}
+    for base, suffix, order in sorted(rows, key=lambda r: r[2]):
+        stem, dot, ext = base.rpartition(".") if "." in base else (base, "", "")
+        names = (f"{stem}{x}{dot}{ext}" for k in range(10**6) for x in ["" if k == 0 else suffix if k == 1 else f"{suffix}_{k}"])
+        out[order] = next(n for n in names if n.upper() not in used)
+        used.add(out[order].upper())
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_collisions_equal_the_loop(spark, seed):
+    """Few names, so that suffixed ones equal other files' base names; one name is shared by many."""
+    r = random.Random(seed)
+    rows = [("".join(r.choice(["a", "A", "_x", "_2"]) for _ in range(r.randint(1, 3))) + r.choice([".otf", ".otf", ""]), r.choice(["_x", "_2", "_x_2"]), k) for k in range(120)]
+    rows += [("hot.otf", f"_c{k % 50}", 1000 + k) for k in range(200)]
+    r.shuffle(rows)
+    df = spark.createDataFrame(rows, "base string, sfx string, ord int")
+    got = {x["ord"]: x["target"] for x in placement.resolve_collisions(df, "base", F.col("sfx"), "ord").collect()}
+    assert got == one_after_the_other(rows)
+    assert len({t.upper() for t in got.values()}) == len(rows)
+
+
+def test_collisions(spark):
+    df = spark.createDataFrame([("a", 1), ("A", 2), ("a", 3), ("b", 4), ("a_x", 5), ("n.otf", 6), ("N.otf", 7)], "base string, ord int")
     got = [r["target"] for r in placement.resolve_collisions(df, "base", F.lit("_x"), "ord").orderBy("ord").collect()]
-    assert got == ["a", "A_x", "a_x_2", "b"]
+    assert got == ["a", "A_x", "a_x_2", "b", "a_x_x", "n.otf", "N_x.otf"]
+
+
+def test_joins_of_hot_groups(spark):
+    rows = spark.createDataFrame([(k % 3 // 2, k) for k in range(300)], "g int, id int")
+    got = with_group(rows, ["g"], F.col("id"), {"lo": ("min", "id"), "hi": ("max", "id"), "s": ("sum", "id")})
+    assert {(r["g"], r["lo"], r["hi"], r["s"]) for r in got.collect()} == {(0, 0, 298, sum(k for k in range(300) if k % 3 < 2)), (1, 2, 299, sum(range(2, 300, 3)))} and got.count() == 300
+    groups = spark.createDataFrame([(1, "x"), (7, "y")], "g int, name string")
+    assert {how: to_group(rows, groups, ["g"], F.col("id"), how).count() for how in ("inner", "left", "left_anti")} == {"inner": 100, "left": 300, "left_anti": 200}
+
+
+def test_in_row_points(spark):
+    points = F.array(*[F.lit(x) for x in (5, 3, 4, 9, 4)])
+    assert [tuple(x) for x in one(spark, iv.runs_of(points))] == [(3, 5), (9, 9)]
+    assert one(spark, iv.rows_of(F.sequence(F.lit(1), F.lit(18))))[1] == [17, 18] + [-1] * 14
+    assert one(spark, iv.rows_of(F.array().cast("array<int>"))) == [] and one(spark, iv.runs_of(F.array().cast("array<int>"))) == []
+    assert {x["block"]: x["present"] for x in one(spark, iv.presence(iv.runs_of(F.array(F.lit(0x41), F.lit(0x995))))) if x["present"]} == {"Basic Latin": 1, "Bengali": 1}
+
+
+def test_blocks_equal_the_platforms(spark):
+    """Against the block table of the Java platform, by name where both have the name."""
+    block = spark.sparkContext._jvm.java.lang.Character.UnicodeBlock
+    plain = lambda s: "".join(c for c in s.upper() if c.isalnum())
+    same = 0
+    for a, b, name in iv.BLOCKS:
+        found = [block.of(a), block.of(b)]
+        if found[0] is not None and found[0].equals(found[1]) and plain(found[0].toString()) == plain(name):
+            same += 1
+            assert a == 0 or block.of(a - 1) is None or not block.of(a - 1).equals(found[0])
+            assert b == 0x10FFFF or block.of(b + 1) is None or not block.of(b + 1).equals(found[0])
+    assert same >= 240
+
+
+def test_sorting_letter_sees_marks_of_any_number(spark):
+    assert [one(spark, fn.sorting_letter(F.lit(x))) for x in ("\u0301" * 50 + "Éa", "\u0301" * 50, "ż", "日", None, "ſ")] == ["E", "#", "Z", "#", "#", "S"]
+
+
+def test_publishing_survives_a_crash_at_any_step(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "c")
+    entries = lambda n: spark.createDataFrame([(f"n{k}", "", "") for k in range(n)], "display_name string, typo_subfamily string, style string")
+    seen = lambda: catalog.load(spark, root).count() if catalog.load(spark, root) is not None else None
+    catalog.write_generation(entries(1), root)  # dies before the first pointer
+    assert seen() is None
+    catalog.publish(entries(2), root)
+    catalog.write_generation(entries(3), root)  # dies before the pointer
+    assert seen() == 2
+    real = catalog._pointers
+    monkeypatch.setattr(catalog, "_pointers", lambda *a: (_ for _ in ()).throw(OSError("dies with the draft written")))
+    with pytest.raises(OSError):
+        catalog.publish(entries(4), root)
+    monkeypatch.setattr(catalog, "_pointers", real)
+    assert seen() == 2
+    (tmp_path / "c" / f"{catalog.POINTER}{99:012d}").write_text("")  # an empty pointer counts for nothing
+    assert seen() == 2
+    for n in range(5, 12):
+        catalog.publish(entries(n), root)
+        assert seen() == n
+    assert len(real(spark, root)) <= catalog.KEPT + 1
+    files = sorted((tmp_path / "c" / (tmp_path / "c" / f"{catalog.POINTER}{106:012d}").read_text()).glob("part-*"))
+    names = [r["display_name"] for f in files for r in spark.read.parquet(str(f)).collect()]
+    assert names == sorted(names)
+
+
+def test_copies_and_repairs_are_carried_out(spark, tmp_path):
+    put = lambda at, raw: ((tmp_path / at).parent.mkdir(parents=True, exist_ok=True), (tmp_path / at).write_bytes(raw))
+    put("a", b"one"), put("b", b"one"), put("c", b"two"), put("out/b", b"one"), put("out/c", b"xxx")
+    plan = spark.createDataFrame([(str(tmp_path / k), str(tmp_path / "out" / k)) for k in "abc"], "src string, dst string")
+    assert {r["src"][-1]: r["outcome"] for r in catalog.copy_files(plan).collect()} == {"a": "copied", "b": "present", "c": "other file in the way"}
+    vault = tmp_path / "v"
+    put("v/x/1.otf", b"1"), put("v/x/2.otf", b"2"), put("v/y/3.otf", b"1"), put("v/z/4.otf", b"4"), put("v/z/busy.otf", b"?")
+    rows = [("x/1.otf", "move", "x/2.otf"), ("x/2.otf", "move", "x/1.otf"), ("y/3.otf", "delete", ""), ("z/4.otf", "move", "z/busy.otf"), ("z/busy.otf", "keep", "z/busy.otf")]
+    repair = spark.createDataFrame([(str(vault / p), act, t) for p, act, t in rows], "path string, action string, target string")
+    got = {r["path"].rpartition("/v/")[2]: r["outcome"] for r in catalog.apply_repair(repair, str(vault), str(tmp_path / "staging")).collect()}
+    assert got == {"x/1.otf": "moved", "x/2.otf": "moved", "y/3.otf": "deleted", "z/4.otf": "failed: the target is taken", "z/busy.otf": "kept"}
+    assert ((vault / "x/1.otf").read_bytes(), (vault / "x/2.otf").read_bytes(), (vault / "z/4.otf").read_bytes()) == (b"2", b"1", b"4") and not (vault / "y").exists()
+
+
+def test_settings(spark, tmp_path):
+    write_settings(spark, {"vault": "/v", "sort": "1"}, str(tmp_path / "s"))
+    assert read_settings(spark, str(tmp_path / "s")) == {"vault": "/v", "user_folder": "", "sort": "1", "theme": ""}
+
+
+def test_session_name_ignores_order():
+    assert incremental.session_name(["b", "a"], "t") == incremental.session_name(["a", "b"], "t") != incremental.session_name(["a"], "t")
 
 
 def test_records(spark):

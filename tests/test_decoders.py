@@ -8,7 +8,7 @@ from lithos.sources.binary import Corrupt, expand_szdd
 from lithos.sources.files import entry_row, members
 from lithos.sources.metadata import coverage_of, decode, glyph_points, ligature_rows, names_of, united
 from lithos.sources.type1 import glyph_codepoint
-from tests import assets as a
+from lithos.sources import samples as a
 
 
 def test_plain_font():
