@@ -634,6 +634,28 @@ def decode_rejects(spark, sf_dir):
     return out.select("p_partkey", "status", (F.length("error") > 0).alias("told"), F.when((F.col("p_partkey") % 8).isin(0, 6), F.col("error")).alias("reason"))
 
 
+@query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'sidecar' WHEN p_partkey % 3 = 1 THEN 'asset' ELSE 'ignore' END AS route, CASE WHEN p_partkey % 3 = 1 THEN CAST(length(p_name) AS BIGINT) END AS bytes_read FROM part")
+def tree_listing(spark, sf_dir):
+    """A tree with a file for each part, two folders deep, hidden names among them, listed and read."""
+    root = f"{shared_dir(spark).removeprefix('file:').rstrip('/')}/tree-{uuid.uuid4().hex}"
+
+    def put(batches):
+        import os
+
+        for b in batches:
+            for r in b.to_pylist():
+                k = r["p_partkey"]
+                at = f"{root}/.h{k % 5}/_{k % 2}"
+                os.makedirs(at, exist_ok=True)
+                with open(f"{at}/{('._{}.ttf', '_{}.TTF', '{}.txt')[k % 3].format(k)}", "w") as f:
+                    f.write(r["p_name"])
+            yield b.select(["p_partkey"])
+
+    table(spark, sf_dir, "part").select("p_partkey", "p_name").mapInArrow(put, "p_partkey bigint").count()
+    rows = files.routed(files.read_trees(spark, [f"{root}/.h{k}" for k in range(5)]))
+    return rows.select(F.regexp_extract("path", r"([0-9]+)\.[A-Za-z]+$", 1).cast("bigint").alias("p_partkey"), "route", F.octet_length("content").cast("bigint").alias("bytes_read"))
+
+
 @query("SELECT p_partkey, p_name AS display_name, p_size % 26 + 2 AS covered, p_partkey || '.ttf' AS original FROM part")
 def catalog_round_trip(spark, sf_dir):
     """Published and loaded again, in catalog order, heavy columns on their own."""

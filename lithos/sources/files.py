@@ -1,8 +1,11 @@
 """Discovery and decoding of asset files.
 
 Spark's own file source drops names that begin with "." or "_", which are ordinary files
-here, so listing is a Python data source: one partition a root directory entry, no
-content read on the driver, unreadable folders skipped and reported.
+here, so listing is a Python data source.  It is planned lazily: the driver looks into the
+topmost folders only, until there are enough parts for many tasks, and a folder with very
+many files is shared by several.  Unreadable folders are skipped and reported.
+
+Contents are read afterwards, of assets and archives alone, dealt over tasks by bytes.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from lithos.functions.names import PRIORITY
 from lithos.sources.binary import Corrupt
 from lithos.sources.metadata import decode
+from lithos.storage import settled
 
 #: Extensions by what is done with the file, and the accepted sizes.
 ASSETS = {*PRIORITY, "pfb", "pfa"}
@@ -35,11 +39,17 @@ ENTRY = (
 )
 
 
+#: Parts that the listing is planned for, files of one folder a part lists, and bytes a task reads, about.
+PARTS, SHARE, TASK_BYTES = 256, 10_000, 256 << 20
+#: Bytes of content in one batch, about.
+BATCH_BYTES = 64 << 20
+
+
 class TreeSource(DataSource):
-    """spark.read.format("asset_tree").option("path", root).load(): path, length, content of all files below.
+    """spark.read.format("asset_tree").option("path", root).load(): path and length of all files below.
 
-    ``option("paths", "a\\nb")`` reads several roots as one.  Unreadable folders and files
-    become rows with an ``error`` and no content.
+    ``option("paths", "a\nb")`` reads several roots as one.  Unreadable folders and files
+    become rows with an ``error``.
     """
 
     @classmethod
@@ -47,46 +57,110 @@ class TreeSource(DataSource):
         return "asset_tree"
 
     def schema(self) -> str:
-        return "path string, length bigint, content binary, error string"
+        return "path string, length bigint, error string"
 
     def reader(self, schema) -> DataSourceReader:
         return TreeReader([p for p in (self.options.get("paths") or self.options.get("path") or "").split("\n") if p])
 
 
+class Part(InputPartition):
+    """A file, a folder with all below it, or a share of the files of one folder."""
+
+    def __init__(self, top: str, deep: bool = True, share: int = 0, of: int = 1):
+        self.top, self.deep, self.share, self.of = top, deep, share, of
+
+
+def _folder(entry: os.DirEntry) -> bool:
+    return entry.is_dir(follow_symlinks=False)
+
+
+def _file(entry: os.DirEntry) -> bool:
+    return not (_folder(entry) or entry.is_symlink() and os.path.isdir(entry.path))  # links to folders are not followed
+
+
 class TreeReader(DataSourceReader):
     def __init__(self, roots: list[str]):
         self.roots = [r.removeprefix("file://") for r in roots]
 
     def partitions(self) -> list[InputPartition]:
-        """One for each entry of a root, so that a wide tree is walked in parallel."""
-        found = []
-        for root in self.roots:
+        """Folders from the top, opened until there are PARTS; what is not opened is listed by the tasks."""
+        found, closed = [], list(self.roots)
+        while closed and len(found) + len(closed) < PARTS:
+            top = closed.pop(0)
             try:
-                found += [InputPartition(os.path.join(root, n)) for n in sorted(os.listdir(root))] if os.path.isdir(root) else [InputPartition(root)]
+                entries = list(os.scandir(top)) if os.path.isdir(top) else None
             except OSError:
-                found.append(InputPartition(root))
-        return found
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
+                entries = None
+            if entries is None:
+                found.append(Part(top))
+                continue
+            shares = -(-sum(map(_file, entries)) // SHARE)
+            found += [Part(top, False, k, shares) for k in range(shares)]
+            closed += sorted(e.path for e in entries if _folder(e))
+        return found + [Part(top) for top in closed]
+
+    def read(self, partition: Part) -> Iterator[tuple]:
         failed: list[OSError] = []
-        top = partition.value
-        files = [top] if not os.path.isdir(top) else (os.path.join(d, n) for d, _, names in os.walk(top, onerror=failed.append) for n in sorted(names))
-        for path in files:
+        top = partition.top
+        if not os.path.isdir(top):
+            paths = iter([top])
+        elif partition.deep:
+            paths = (os.path.join(d, n) for d, _, names in os.walk(top, onerror=failed.append) for n in sorted(names))
+        else:
+            own = lambda name: zlib.crc32(os.fsencode(name)) % partition.of == partition.share
+            paths = iter(sorted(e.path for e in os.scandir(top) if own(e.name) and _file(e)))
+        for path in paths:
             try:
-                size = os.path.getsize(path)
-                with open(path, "rb") as f:
-                    yield path, size, f.read() if size <= MOST else None, None
+                yield path, os.path.getsize(path), None
             except OSError as e:
-                yield path, None, None, str(e)
+                yield path, None, str(e)
         for e in failed:
-            yield e.filename, None, None, str(e)
+            yield e.filename, None, str(e)
 
 
-def read_trees(spark: SparkSession, roots: list[str]) -> DataFrame:
+def list_trees(spark: SparkSession, roots: list[str]) -> DataFrame:
+    """path, length and error of all files below the roots."""
     spark.dataSource.register(TreeSource)
     return spark.read.format("asset_tree").option("paths", "\n".join(roots)).load()
 
 
+def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(path, length, error) with content, in batches of a bounded size."""
+    names, rows, held = ["path", "length", "error", "content"], [], 0
+
+    def batch() -> pa.RecordBatch:
+        types = (pa.string(), pa.int64(), pa.string(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+
+    for b in batches:
+        for path, length in zip(b.column("path").to_pylist(), b.column("length").to_pylist(), strict=True):
+            raw, error = None, None
+            try:
+                if length is not None and length <= MOST:
+                    with open(path, "rb") as f:
+                        raw = f.read()
+            except OSError as e:
+                error = str(e)
+            rows.append((path, length, error, raw))
+            held += len(raw or b"")
+            if held >= BATCH_BYTES or len(rows) >= 10_000:
+                yield batch()
+                rows, held = [], 0
+    if rows:
+        yield batch()
+
+
+def read_trees(spark: SparkSession, roots: list[str]) -> DataFrame:
+    """path, length, error and, of assets and archives, content of all files below the roots."""
+    listed = settled(list_trees(spark, roots))
+    wanted = F.col("route").isin("asset", "archive")
+    told = routed(listed)
+    total = told.filter(wanted).agg(F.sum("length")).first()[0] or 0
+    read = told.filter(wanted).select("path", "length", "error").repartition(1 + total // TASK_BYTES, F.xxhash64("path"))
+    read = read.mapInArrow(_contents, "path string, length bigint, error string, content binary")
+    return read.unionByName(told.filter(~wanted).select("path", "length", "error", F.lit(None).cast("binary").alias("content")))
+
+
 def routed(files: DataFrame) -> DataFrame:
     """Adds ``route``: asset, archive, sidecar, error or ignore."""
     base = F.regexp_extract("path", r"([^/\\]*)$", 1)

@@ -231,6 +231,32 @@ def test_listing_keeps_hidden_files(spark, tree):
     }
 
 
+def test_listing_is_planned_by_folders_and_shares(tree, monkeypatch, tmp_path):
+    """Any number of parts lists every file once; a link to a folder is not followed."""
+    from lithos.sources import files as f
+
+    for k in range(40):
+        (tree / "flat").mkdir(exist_ok=True)
+        (tree / "flat" / f"{k}.ttf").write_bytes(b"x")
+    (tree / "deep" / "er").mkdir(parents=True)
+    (tree / "deep" / "er" / "z.otf").write_bytes(b"x")
+    (tree / "link").symlink_to(tree / "flat")
+    want = sorted(str(p) for p in tree.rglob("*") if p.is_file())
+    for parts, share in ((1, 10_000), (3, 10_000), (256, 7), (256, 10_000)):
+        monkeypatch.setattr(f, "PARTS", parts)
+        monkeypatch.setattr(f, "SHARE", share)
+        reader = f.TreeReader([f"file://{tree}", str(tmp_path / "absent")])
+        planned = reader.partitions()
+        got = [r for p in planned for r in reader.read(p)]
+        assert sorted(p for p, _, e in got if e is None) == want and [p for p, _, e in got if e] == [str(tmp_path / "absent")]
+    assert len(planned) >= 4
+
+
+def test_contents_of_assets_alone_are_read(spark, tree):
+    rows = read_trees(spark, [str(tree)]).collect()
+    assert {r["path"].rpartition("/")[2] for r in rows if r["content"] is not None} == {"b.TTF", "copy.ttf", "_d.ttf", "e.woff", "bad.ttf"}
+
+
 def test_import_accounts_for_every_file_and_is_idempotent(spark, tree, tmp_path):
     rows = decoded(routed(read_trees(spark, [str(tree)]))).cache()
     after, counts = catalog.plan_import(rows, None)
