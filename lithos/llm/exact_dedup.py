@@ -44,7 +44,7 @@ def exact_dedup(
     A text of any length is one value of an aggregate's buffer.  Other columns are ignored,
     whatever their names.  An empty table gives no rows.
     """
-    salts = salts or salts_of(docs.sparkSession)
+    salts = salts or salts_of(docs)
     rows = docs.select(F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("norm"))
     rows = rows.withColumn("digest", digest(F.col("norm"))).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)))
 

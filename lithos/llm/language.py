@@ -156,7 +156,7 @@ def identify(
     hits = F.array(*[F.count(F.when(F.col("k") == i, 1)).cast("double") for i in every])
     total = lambda c: F.array(*[F.sum(F.col(c)[i]) for i in every])
     # Host counts first, combined over salts; domains and the whole add them up.
-    salts = salts_of(spark)
+    salts = salts_of(pages)
     salted = seen.withColumn("salt", F.pmod(F.xxhash64("page"), F.lit(salts)))
     merged = salted.groupBy("host", "domain", "salt").agg(hits.alias("c"))
     hosts = settled(merged.groupBy("host", "domain").agg(total("c").alias("by_host"), F.collect_list("salt").alias("salts")))

@@ -226,7 +226,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sketch = settled(rows.mapInArrow(_sketch(shingle), "id bigint, n bigint, set_a bigint, set_b bigint, sketch binary"))
     keys = ["set_a", "set_b", "n"]
     linked = sketch.filter("n > 0 and id is not null")
-    salts = salts_of(docs.sparkSession)
+    salts = salts_of(docs)
     salted, classes = spread(linked.drop("sketch"), keys, "id", salts)
 
     reps = linked.join(classes.select(F.col("least").alias("id")), "id", "left_semi").select("id", "n", "sketch").dropDuplicates(["id"])

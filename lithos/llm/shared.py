@@ -1,49 +1,17 @@
-"""Helpers that touch the session: shared storage, checkpoints and partition counts."""
+"""Helpers over the shared storage: hot groups, bounded samples, connected components."""
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lithos.operators.skew import salts_of
+from lithos.storage import settled, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; where none is configured, a local one for a local master (tests), else an error."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        found = f"file://{tempfile.mkdtemp(prefix='lithos-')}"
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def settled(df: DataFrame) -> DataFrame:
-    """df by way of a reliable checkpoint: lineage is cut and the work is done once.
-
-    The shuffle files that led to it are removed at once, where this version of Spark can.
-    """
-    spark = df.sparkSession
-    at = shared_dir(spark)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(at)
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
-    try:
-        return df.select("*").checkpoint(eager=True)  # the setting holds for plans made under it
-    finally:
-        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
-
-
-def salts_of(spark: SparkSession) -> int:
-    """Parts that a hot group is dealt over: as many as a shuffle has partitions, so they follow the cluster's setting for the data."""
-    return max(32, int(spark.conf.get("spark.sql.shuffle.partitions")))
+__all__ = ["components", "contracted", "drawn", "joined", "least_partner", "rejoin", "salts_of", "settled", "shared_dir", "spread"]
 
 
 def spread(rows: DataFrame, keys: list[str], id_col: str, salts: int) -> tuple[DataFrame, DataFrame]:
@@ -72,7 +40,7 @@ def joined(rows: DataFrame, counts: DataFrame, key: str, n: str, id_col: str) ->
 
     The bound on a key's rows rises with the table only so that at most HOT_KEYS keys pass it.
     """
-    salts = salts_of(rows.sparkSession)
+    salts = salts_of(rows)
     bound = max(HOT_ROWS, (counts.agg(F.sum(n)).first()[0] or 0) // HOT_KEYS)
     hot = counts.filter(F.col(n) > bound).select(key, F.lit(True).alias("_hot"))  # at most HOT_KEYS rows
     salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(id_col), F.lit(salts))).otherwise(F.lit(0).cast("bigint"))
@@ -117,7 +85,7 @@ def contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def least_partner(pairs: DataFrame) -> DataFrame:
     """(u, v, m): each pair with the least v of its u; the pairs of a hot u are dealt over salts."""
-    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(salts_of(pairs.sparkSession))))
+    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(salts_of(pairs))))
     merged = salted.groupBy("u", "salt").agg(F.min("v").alias("m"))
     least = merged.groupBy("u").agg(F.min("m").alias("m"), F.collect_list("salt").alias("salts"))
     return salted.join(least.select("u", "m", F.explode("salts").alias("salt")), ["u", "salt"]).drop("salt")
