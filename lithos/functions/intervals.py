@@ -139,11 +139,38 @@ def rows_of(points: Column, width: int = 16) -> Column:
     return F.element_at(F.transform(F.array(F.array_sort(F.array_distinct(points))), of), 1)
 
 
-def presence(coverage: Column, rows=BLOCKS) -> Column:
-    """(block_start, block, size, present) of every block, by an array of disjoint (start, end), within the row."""
-    listed = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(n).alias("n")) for a, b, n in rows])
-    inside = lambda b: F.aggregate(coverage, F.lit(0).cast("bigint"), lambda acc, i: acc + F.greatest(F.lit(0), F.least(i["end"], b["b"]) - F.greatest(i["start"], b["a"]) + 1))
-    return F.transform(listed, lambda b: F.struct(b["a"].alias("block_start"), b["n"].alias("block"), (b["b"] - b["a"] + 1).alias("size"), inside(b).alias("present")))
+def block_of(point: Column, rows=BLOCKS) -> Column:
+    """The number of the block that holds a point, by a decision tree over the sorted blocks; null outside of all."""
+    def tree(lo: int, hi: int) -> Column:
+        if hi - lo == 1:
+            return F.when((point >= rows[lo][0]) & (point <= rows[lo][1]), F.lit(lo))
+        mid = (lo + hi) // 2
+        return F.when(point < rows[mid][0], tree(lo, mid)).otherwise(tree(mid, hi))
+
+    return tree(0, len(rows))
+
+
+def block_counts(points: Column, rows=BLOCKS) -> Column:
+    """Map of block number to how many of an array's distinct points it holds, within the row."""
+    def of(k: Column) -> Column:
+        found = F.array_distinct(k)
+        return F.map_from_arrays(found, F.transform(found, lambda x: F.size(F.filter(k, lambda y: y == x)).cast("bigint")))
+
+    numbers = F.filter(F.transform(F.array_distinct(points), lambda p: block_of(p, rows)), lambda k: k.isNotNull())
+    return F.element_at(F.transform(F.array(numbers), of), 1)
+
+
+def presence(df: DataFrame, counts: str, keys: list[str], rows=BLOCKS) -> DataFrame:
+    """(keys, block_start, block, size, present) of every block, zeros included, from a column of block_counts."""
+    listed = F.array(*[F.struct(F.lit(k).alias("_k"), F.lit(a).alias("block_start"), F.lit(n).alias("block"), F.lit(b - a + 1).alias("size")) for k, (a, b, n) in enumerate(rows)])
+    every = df.select(*keys, counts, F.inline(listed))
+    return every.select(*keys, "block_start", "block", "size", F.coalesce(F.col(counts)[F.col("_k")], F.lit(0).cast("bigint")).alias("present"))
+
+
+def first_of(counts: Column, rows=BLOCKS) -> Column:
+    """The name of the first block with any point, else of the first block."""
+    names = F.array(*[F.lit(n) for _, _, n in rows])
+    return F.get(names, F.coalesce(F.array_min(F.map_keys(counts)), F.lit(0)))
 
 
 def covered(coverage: Column) -> Column:

@@ -283,14 +283,17 @@ _COVER = f"{_RUNS}, {_BLOCKS}, d AS (SELECT DISTINCT doc_id FROM i), c AS (SELEC
 
 @query(f"WITH {_COVER} SELECT doc_id, block_start, block, size, present FROM c")
 def block_coverage(spark, sf_dir):
-    return _coverage(spark, sf_dir).select("doc_id", F.inline(iv.presence(F.col("coverage"))))
+    return iv.presence(_block_counts(spark, sf_dir), "counts", ["doc_id"])
+
+
+def _block_counts(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").filter(F.length("text") > 0)
+    return d.select("doc_id", iv.block_counts(fn.distinct_codepoints(F.col("text"))).alias("counts"))
 
 
 @query(f"WITH {_COVER} SELECT doc_id, arg_min(block, (CASE WHEN present = 0 THEN 1 ELSE 0 END) * 10000000 + block_start) AS block FROM c GROUP BY doc_id")
 def first_block(spark, sf_dir):
-    counts = iv.presence(F.col("coverage"))
-    first = F.array_min(F.transform(counts, lambda c: F.struct((c["present"] == 0).alias("empty"), c["block_start"].alias("block_start"), c["block"].alias("block"))))
-    return _coverage(spark, sf_dir).select("doc_id", first["block"].alias("block"))
+    return _block_counts(spark, sf_dir).select("doc_id", iv.first_of(F.col("counts")).alias("block"))
 
 
 @query("SELECT doc_id, contains(text, 'é') AS has_e_acute FROM documents WHERE length(text) > 0")

@@ -138,7 +138,12 @@ def test_in_row_points(spark):
     assert [tuple(x) for x in one(spark, iv.runs_of(points))] == [(3, 5), (9, 9)]
     assert one(spark, iv.rows_of(F.sequence(F.lit(1), F.lit(18))))[1] == [17, 18] + [-1] * 14
     assert one(spark, iv.rows_of(F.array().cast("array<int>"))) == [] and one(spark, iv.runs_of(F.array().cast("array<int>"))) == []
-    assert {x["block"]: x["present"] for x in one(spark, iv.presence(iv.runs_of(F.array(F.lit(0x41), F.lit(0x995))))) if x["present"]} == {"Basic Latin": 1, "Bengali": 1}
+    counts = spark.range(1).select("id", iv.block_counts(F.array(*[F.lit(x) for x in (0x41, 0x995, 0x42, 0x41, 0x2FE0, 0x10FFFF)])).alias("c"))
+    rows = iv.presence(counts, "c", ["id"]).collect()
+    assert len(rows) == 256 and {x["block"]: x["present"] for x in rows if x["present"]} == {"Basic Latin": 2, "Bengali": 1, "Supplementary Private Use Area-B": 1}
+    none = iv.block_counts(F.array().cast("array<int>"))
+    assert counts.select(iv.first_of(F.col("c")), iv.first_of(none)).first()[:] == ("Basic Latin", "Basic Latin")
+    assert one(spark, iv.first_of(iv.block_counts(F.array(F.lit(0x995), F.lit(0x2FE0))))) == "Bengali"
 
 
 def test_blocks_equal_the_platforms(spark):
