@@ -207,6 +207,47 @@ def test_thresholds():
     assert least_matches(128, 80) == 79 and least_matches(40, 80) == 19
 
 
+def test_matches_at_the_link_similarity(monkeypatch):
+    """Pairs of exactly 80 % similarity, of five set sizes: none falls under the match threshold."""
+    from lithos.llm import near_dedup as module
+
+    r = np.random.default_rng(11)
+    missed = total = 0
+    for union in (5, 20, 50, 100, 400):
+        pairs = 40_000 // union * 5
+        g = r.integers(0, 2**63, (pairs, union), dtype=np.int64).view(np.uint64)
+        low = (g >> np.uint64(32)).astype(np.uint32)
+        shared, alone = union * 4 // 5, union // 5
+        in_a = np.arange(union) < shared + alone // 2 + alone % 2
+        in_b = (np.arange(union) < shared) | ~in_a
+        assert (in_a & in_b).sum() * 100 == 80 * union
+        same = np.zeros(pairs, int)
+        for k in range(module.COORDINATES):
+            h = low * module._A[k] + module._B[k]
+            same += h[:, in_a].min(axis=1) == h[:, in_b].min(axis=1)
+        missed += int((same < least_matches(module.COORDINATES, 80)).sum())
+        total += pairs
+    assert total > 40_000 and missed == 0
+
+
+@pytest.mark.parametrize("blocks", [(2, 4), (512, 4096)])
+def test_rest_pass_in_blocks_of_any_size(frame, monkeypatch, blocks):
+    """Many texts share a passage of five eighths; some of them are near-duplicates, which the heads of the lists need not show."""
+    monkeypatch.setattr("lithos.llm.near_dedup.LEAST_BLOCK", blocks[0])
+    monkeypatch.setattr("lithos.llm.near_dedup.MOST_BLOCK", blocks[1])
+    r = random.Random(13)
+    word = lambda: f"w{r.randint(0, 10**6)}"
+    passage = [word() for _ in range(75)]
+    rows = []
+    for k in range(60):
+        own = passage + [word() for _ in range(45)]
+        rows.append((k, " ".join(own)))
+        if k % 4 == 0:
+            rows.append((100 + k, " ".join(own[:-3] + [word() for _ in range(3)])))
+    r.shuffle(rows)
+    assert by_id(near_dedup(frame(rows), shingle=4)) == sorted(near_by_force(rows, 4), key=repr)
+
+
 @pytest.mark.parametrize("per_part", [40, 10**6])
 def test_components(spark, monkeypatch, per_part):
     """In one task and over many."""
