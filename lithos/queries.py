@@ -572,7 +572,7 @@ def _built(spark, sf_dir, kind: str):
     return rows.withColumn("p_partkey", F.regexp_extract("path", r"^([0-9]+)", 1).cast("bigint"))
 
 
-_RECORD = """p_partkey, p_name AS display_name, p_type AS style, p_size || '.5' AS version, CAST(p_size AS INT) AS glyph_count, p_size % 26 + 2 AS covered, 3 AS score,
+_RECORD = """p_partkey, p_name AS display_name, p_type AS style, p_size || '.5' AS version, CAST(p_size AS INT) AS glyph_count, CAST(p_size % 26 + 2 AS BIGINT) AS covered, 3 AS score,
     CASE p_size % 3 WHEN 0 THEN 'Free' WHEN 1 THEN 'Paid' ELSE 'Unknown' END AS licence, p_partkey % 2 = 1 AS is_variable, 'TrueType' AS outline"""
 
 
@@ -612,7 +612,7 @@ def decode_axes_features(spark, sf_dir):
     return _built(spark, sf_dir, "plain").select("p_partkey", axes.alias("axes"), F.array_join("features", ",").alias("features"), fn.has_ligatures(F.col("features")).alias("ligatures"))
 
 
-@query("SELECT p_partkey, 'Old ' || p_partkey AS display_name, 'Bold Italic' AS style, '3.5' AS version, 3 AS glyph_count, 2 AS covered, 'otf' AS ext FROM part")
+@query("SELECT p_partkey, 'Old ' || p_partkey AS display_name, 'Bold Italic' AS style, '3.5' AS version, 3 AS glyph_count, CAST(2 AS BIGINT) AS covered, 'otf' AS ext FROM part")
 def decode_type1(spark, sf_dir):
     def build(batches):
         for b in batches:
@@ -659,7 +659,7 @@ def tree_listing(spark, sf_dir):
     return rows.select(F.regexp_extract("path", r"([0-9]+)\.[A-Za-z]+$", 1).cast("bigint").alias("p_partkey"), "route", F.octet_length("content").cast("bigint").alias("bytes_read"))
 
 
-@query("SELECT p_partkey, p_name AS display_name, p_size % 26 + 2 AS covered, p_partkey || '.ttf' AS original FROM part")
+@query("SELECT p_partkey, p_name AS display_name, CAST(p_size % 26 + 2 AS BIGINT) AS covered, p_partkey || '.ttf' AS original FROM part")
 def catalog_round_trip(spark, sf_dir):
     """Published and loaded again, in catalog order, heavy columns on their own."""
     root = f"{shared_dir(spark).rstrip('/')}/catalog-{uuid.uuid4().hex}"
