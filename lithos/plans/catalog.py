@@ -138,7 +138,7 @@ def plan_import(decoded: DataFrame, catalog: DataFrame | None) -> tuple[DataFram
     ok = decoded.filter("status = 'ok'")
     groups = exact_groups(ok, keys, "path").withColumnRenamed("paths", "original_paths")
     records = ok.drop("status", "error").join(groups.select(*keys, F.col("representative").alias("path"), "original_paths"), [*keys, "path"])
-    records = records.dropDuplicates(keys)
+    records = settled(records.dropDuplicates(keys))
     if catalog is None:
         catalog = records.withColumn("vault_path", F.lit("")).limit(0)
     known = match_existing(records.select(*keys, "original_paths"), catalog, keys, "vault_path").select(*keys, F.col("original_paths").alias("more"))
@@ -149,6 +149,7 @@ def plan_import(decoded: DataFrame, catalog: DataFrame | None) -> tuple[DataFram
     pool = old.select(*shape, "path", "vault_path", "is_existing").unionByName(fresh.select(*shape, "path").withColumn("vault_path", F.lit("")).withColumn("is_existing", F.lit(False)))
     ranked = criteria(pool).withColumn("glyphs", F.col("glyph_count")).withColumn("metadata", F.col("metadata_score")).drop("version").withColumnRenamed("version_no", "version")
     chosen = additive_selection(ranked.select("group_key", "is_existing", "prio", "version", "glyphs", "coverage_n", "metadata", "is_variable", "crc32", "path", "sha256", "original_paths"), ["group_key"])
+    chosen = settled(chosen)
     lost = chosen.filter("not kept").select("group_key", F.col("winner").alias("path"), F.explode("original_paths").alias("p")).groupBy("group_key", "path").agg(F.collect_set("p").alias("lost"))
     kept = chosen.filter("kept").join(lost, ["group_key", "path"], "left").select("sha256", "lost")
 
@@ -159,7 +160,7 @@ def plan_import(decoded: DataFrame, catalog: DataFrame | None) -> tuple[DataFram
     style = effective_style(F.col("typo_subfamily"), F.col("style"))
     base = vault_path(F.col("display_name"), style, F.col("version"), F.col("glyph_count"), F.col("ext"))
     # Old entries keep their paths; new ones give way to them.
-    placed = body.withColumn("_base", F.when(F.col("is_existing"), F.col("vault_path")).otherwise(base)).withColumn("_order", F.concat(F.when(F.col("is_existing"), "0").otherwise("1"), F.col("path")))
+    placed = settled(body).withColumn("_base", F.when(F.col("is_existing"), F.col("vault_path")).otherwise(base)).withColumn("_order", F.concat(F.when(F.col("is_existing"), "0").otherwise("1"), F.col("path")))
     named = resolve_collisions(placed, "_base", checksum_mark(), "_order").withColumn("vault_path", F.col("target"))
     after = named.select(*shape, "path", "vault_path")
 
