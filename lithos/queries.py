@@ -499,10 +499,10 @@ def drag_paths(spark, sf_dir):
     return placement.still_there(part.select("p_partkey", path.alias("at")), part.filter("p_size % 2 = 0").select(path.alias("path")), "at").select("p_partkey")
 
 
-@query("SELECT p_partkey FROM part WHERE p_type LIKE '%TIN%' AND p_size % 4 = 1")
+@query("SELECT p_partkey FROM part WHERE contains(lower(p_type), 'o') AND p_size % 4 = 1")
 def search_licence(spark, sf_dir):
     rows = table(spark, sf_dir, "part").withColumn("licence", F.when(F.col("p_size") % 4 == 1, "Free").otherwise("Paid"))
-    return search.matching(rows, search.Request(needle="tin", licence="Free"), ["p_type"]).select("p_partkey")
+    return search.matching(rows, search.Request(needle=" O", licence="Free"), ["p_type"]).select("p_partkey")
 
 
 @query("SELECT count(*) FILTER (p_partkey % 7 = 0 AND p_size % 4 = 1 AND contains(lower(p_type), 'o')) AS visible, count(*) AS total FROM part")
@@ -665,9 +665,9 @@ def catalog_round_trip(spark, sf_dir):
     root = f"{shared_dir(spark).rstrip('/')}/catalog-{uuid.uuid4().hex}"
     built = _built(spark, sf_dir, "plain")
     catalog.publish(built.withColumn("original_paths", F.array("path")).drop("p_partkey"), root)
-    heavy = catalog.heavy(catalog.load(spark, root), F.lit(True)).select("sha256", "coverage", "original_paths")
-    light = catalog.load(spark, root).select("sha256", "display_name", "path")
-    return light.join(heavy, "sha256").select(F.regexp_extract("path", r"^([0-9]+)", 1).cast("bigint").alias("p_partkey"), "display_name", iv.covered(F.col("coverage")).alias("covered"), F.element_at("original_paths", 1).alias("original"))
+    heavy = catalog.heavy(catalog.load(spark, root), F.lit(True)).select(F.element_at("original_paths", 1).alias("path"), "coverage", "original_paths")
+    light = catalog.load(spark, root).select("display_name", "path")
+    return light.join(heavy, "path").select(F.regexp_extract("path", r"^([0-9]+)", 1).cast("bigint").alias("p_partkey"), "display_name", iv.covered(F.col("coverage")).alias("covered"), F.element_at("original_paths", 1).alias("original"))
 
 
 @query(f"""WITH d AS (SELECT min(doc_id) AS doc_id, min_by(lang, doc_id) AS lang, min_by(source, doc_id) AS source, text, count(*) AS copies FROM documents GROUP BY text),
