@@ -53,12 +53,17 @@ def repair_plan(files: DataFrame, path: str, sha: str, target: str) -> DataFrame
     return joined.withColumn("action", action).drop("_least")
 
 
-def install_states(entries: DataFrame, own_crcs: DataFrame, system: DataFrame) -> DataFrame:
-    """0: not installed; 1: its checksum is in a marker; 2: else, size and checksum match a system file."""
-    own = own_crcs.select("crc32").distinct().withColumn("_own", F.lit(True))
-    ext = system.select("file_size", "crc32").distinct().withColumn("_ext", F.lit(True))
+def install_states(entries: DataFrame, own: DataFrame, system: DataFrame) -> DataFrame:
+    """0: not installed; 1: a marker names its content; 2: else, a system file has its content.
+
+    All columns of ``own`` and of ``system`` are compared.  Markers of real files name a
+    CRC-32 alone, which different contents share by chance from some 10,000 of them on, so
+    listings that know more (size, SHA-256) should bring it.
+    """
+    own_keys, keys = own.columns, system.columns
+    own, ext = own.distinct().withColumn("_own", F.lit(True)), system.distinct().withColumn("_ext", F.lit(True))
     row = F.struct(*entries.columns)
-    joined = to_group(to_group(entries, own, ["crc32"], row, "left"), ext, ["file_size", "crc32"], row, "left")
+    joined = to_group(to_group(entries, own, own_keys, row, "left"), ext, keys, row, "left")
     return joined.withColumn("install_state", F.when(F.col("_own"), 1).when(F.col("_ext"), 2).otherwise(0)).drop("_own", "_ext")
 
 

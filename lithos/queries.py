@@ -319,9 +319,9 @@ def interval_merge(spark, sf_dir):
 
 
 def _states(spark, sf_dir):
-    c = _contents(spark, sf_dir)
-    own = c.filter("doc_id % 10 = 3").select("crc32")
-    system = c.filter("doc_id % 10 in (4, 5)")
+    c, keys = _contents(spark, sf_dir), ["file_size", "crc32", "sha256"]
+    own = c.filter("doc_id % 10 = 3").select(*keys)
+    system = c.filter("doc_id % 10 in (4, 5)").select(*keys)
     return placement.install_states(c, own, system)
 
 
