@@ -53,3 +53,9 @@ def test_install_state_of_other_contents_with_the_same_checksum(spark, tmp_path)
     got, want = of_documents(spark, tmp_path, "install_state")
     assert got == want
     assert dict(got) == {3: 1, 1: 0, 11: 1, 4: 2, 2: 0, 12: 2, 14: 1, 20: 0, 13: 0, 21: 2, 15: 2}
+
+
+def test_install_summary_of_other_contents_with_the_same_checksum(spark, tmp_path):
+    got, want = of_documents(spark, tmp_path, "install_summary")
+    assert got == want
+    assert got == [("en", 4, 6, False), ("fr", 3, 5, False)]
