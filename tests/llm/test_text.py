@@ -11,6 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from lithos.llm import pii
 from lithos.llm.decontaminate import Automaton, decontaminate, remove_spans
 from lithos.llm.language import identify, visible
 from lithos.llm.packing import pack_documents, pieces_of, plan
@@ -202,6 +203,53 @@ def test_pii_recall_of_planted_spans_by_kind(frame):
     assert all(got[k][1].n_phone + got[k][1].n_email + got[k][1].n_card == 0 for kind in ("email", "phone") for k, _ in wanted[kind])
 
 
+def test_pii_learns_from_all_proposals(frame):
+    """A few cards among 120,000 numbers of another kind: enough to learn from, but not in a sample of 20,000."""
+    r = random.Random(3)
+    card, other = "4539578763621486", "4916338506082832"
+    rows = [(k, " ".join(f"serial {r.randint(100, 999)}-{r.randint(100, 999)}-{r.randint(1000, 9999)} built" for _ in range(1000))) for k in range(120)]
+    rows += [(1000 + k, f"pay by card {card} today") for k in range(36)]
+    rows.append((2000, f"both {card} {other} end"))
+    got = {g.doc_id: g for g in find_pii(frame(rows)).collect()}
+    assert got[2000].n_card == 0 and got[2000].spans == "card:5:21,card:22:38"
+    assert got[0].spans == "" and got[1001].spans == "card:12:28"
+
+
+def test_pii_trees_count_every_row(spark, monkeypatch):
+    """Lessons added up by the driver or by jobs give the trees of a loop over all rows."""
+    r, names = random.Random(8), ["kind_no", "a", "b"]
+    rows = [(r.randint(0, 3), r.randint(0, 20), r.choice([0, 1, 7, 255])) for _ in range(3000)]
+    rows = [(*x, int((x[1] > 9) ^ (x[2] == 7) ^ (r.random() < 0.05)), k % 4 == 0) for k, x in enumerate(rows)]
+
+    def grown(x, g, h, depth):
+        best = (1e-3, None)
+        for f in range(3) if depth and len(g) >= 20 else ():
+            for t in sorted(set(x[:, f]))[:-1]:
+                at = x[:, f] <= t
+                gain = sum(g[s].sum() ** 2 / (h[s].sum() + 1) for s in (at, ~at)) - g.sum() ** 2 / (h.sum() + 1)
+                best = max(best, (gain, (f, t)), key=lambda b: b[0])
+        if best[1] is None:
+            return lambda y: np.full(len(y), -g.sum() / (h.sum() + 1))
+        (f, t), at = best[1], x[:, best[1][0]] <= best[1][1]
+        low, high = grown(x[at], g[at], h[at], depth - 1), grown(x[~at], g[~at], h[~at], depth - 1)
+        return lambda y: np.where(y[:, f] <= t, low(y), high(y))
+
+    monkeypatch.setattr(pii, "TREES", 3)
+    x, y = np.array([w[:3] for w in rows if not w[4]]), np.array([w[3] for w in rows if not w[4]])
+    z = np.zeros(len(x))
+    for _ in range(pii.TREES):
+        p = 1 / (1 + np.exp(-z))
+        z = z + pii.RATE * grown(x, p - y, p * (1 - p), pii.DEPTH)(x)
+    counted = pii.lessons(spark.createDataFrame(rows, "kind_no int, a int, b int, agrees int, aside boolean"), names)
+    assert counted.agg(F.sum("n"), F.sum("n_aside"), F.sum("y")).first() == (2250, 750, int(y.sum()))
+    found = []
+    for here in (50_000, 0):
+        monkeypatch.setattr(pii, "LESSONS_HERE", here)
+        found.append(pii.fit(counted, names))
+        assert np.abs(sum(pii._apply(t, x) for t in found[-1][0]) - z).max() < 1e-3
+    assert found[0] == found[1]
+
+
 def test_tokens_equal_the_tokenizers_file():
     import public_tokenizers
     from tokenizers import Tokenizer
