@@ -229,7 +229,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     salts = salts_of(docs)
     salted, classes = spread(linked.drop("sketch"), keys, "id", salts)
 
-    reps = linked.join(classes.select(F.col("least").alias("id")), "id", "left_semi").select("id", "n", "sketch").dropDuplicates(["id"])
+    # What is used several times is settled; so are the halves of long plans, which the driver holds whole, again at each stage.
+    reps = settled(linked.join(classes.select(F.col("least").alias("id")), "id", "left_semi").select("id", "n", "sketch").dropDuplicates(["id"]))
     first = shared_values(reps, FIRST).groupBy("id").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") >= least_matches(FIRST, similarity))
     likely = settled(reps.join(first.select("id"), "id", "left_semi"))
     least = least_matches(COORDINATES, similarity)
@@ -251,7 +252,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     nodes, width = long, top
     while top > SHORT:
         nodes = nodes.withColumn("freq", F.ceil(F.col("freq") / CHUNK)).withColumn("chunk", F.pmod(F.xxhash64("key", "id"), F.col("freq")))
-        heads = nodes.groupBy("key", "chunk").agg(F.min("id").alias("a"), F.max("freq").alias("f"))
+        heads = settled(nodes.groupBy("key", "chunk").agg(F.min("id").alias("a"), F.max("freq").alias("f")))
         pairs = pairs.unionByName(nodes.join(heads, ["key", "chunk"]).filter("id <> a").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")))
         nodes = heads.select("key", F.col("a").alias("id"), F.col("f").alias("freq"))
         width = -(-width // CHUNK)
@@ -260,7 +261,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     briefs = settled(entries.select("id", "n", "sketch").mapInArrow(_briefs, "id bigint, n bigint, brief binary"))
     side = lambda x: briefs.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("brief").alias(f"brief_{x}"))
     alike = pairs.distinct().join(side("a"), "a").join(side("b"), "b").filter(100 * F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b"))
-    links = settled(confirmed(alike.mapInArrow(_alike(similarity), "a bigint, b bigint")))
+    links = settled(confirmed(settled(alike.mapInArrow(_alike(similarity), "a bigint, b bigint"))))
     found = settled(components(links))
 
     # The rest: long lists over several components.

@@ -26,6 +26,8 @@ from lithos.llm.textops import LOWER, SPACED, U, gram_hashes, hash_spans, mix, p
 TRAIN_ROWS = 4000
 BITS = 18
 KINDS = 4
+#: Texts whose features are computed and kept together while a model is fitted.
+SLICE = 32
 _UPPER = np.zeros(256, dtype=bool)
 _UPPER[0x41:0x5B] = True
 _DIGIT = np.zeros(256, dtype=bool)
@@ -83,20 +85,30 @@ def logits(weights: np.ndarray, bias: float, data: np.ndarray, off: np.ndarray)
 
 
 def ftrl(texts: list[str], y: np.ndarray, epochs: int = 3, alpha: float = 2.0, beta: float = 1.0, l1: float = 0.02, l2: float = 0.05, seed: int = 7) -> tuple[np.ndarray, float]:
-    """FTRL-proximal over sparse mean vectors; returns weights and bias."""
-    rows = []
-    for i in range(0, len(texts), 256):
-        data, off = text_bytes(pa.array(texts[i : i + 256], pa.string()))
+    """FTRL-proximal over sparse mean vectors; returns weights and bias.
+
+    The rows are kept as 32-bit features and counts, slice by slice: the driver holds them all.
+    """
+    parts = []
+    for i in range(0, len(texts), SLICE):
+        data, off = text_bytes(pa.array(texts[i : i + SLICE], pa.string()))
         idx, first = features(data, off)
-        for a, b in zip(first[:-1], first[1:], strict=True):
-            u, c = np.unique(idx[:, a:b], return_counts=True)
-            rows.append((np.append(u, 1 << BITS), np.append(c / max(1, b - a), 1.0)))
+        found = [np.unique(idx[:, a:b], return_counts=True) for a, b in zip(first[:-1], first[1:], strict=True)]
+        at = np.concatenate([[0], np.cumsum([len(u) for u, _ in found])])
+        parts.append((np.concatenate([u for u, _ in found]), np.concatenate([c for _, c in found]).astype(np.int32), at, np.maximum(1, np.diff(first))))
+
+    def row(k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Features and their shares of the words, the bias last."""
+        u, c, at, words = parts[k // SLICE]
+        a, b = at[k % SLICE : k % SLICE + 2]
+        return np.append(u[a:b], 1 << BITS), np.append(c[a:b] / words[k % SLICE], 1.0)
+
     z, n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
     order = np.random.default_rng(seed)
     weight = lambda i: np.where(np.abs(z[i]) <= l1, 0.0, -(z[i] - np.sign(z[i]) * l1) / ((beta + np.sqrt(n[i])) / alpha + l2))
     for _ in range(epochs):
-        for k in order.permutation(len(rows)):
-            i, x = rows[k]
+        for k in order.permutation(len(texts)):
+            i, x = row(k)
             w = weight(i)
             g = (1 / (1 + np.exp(-np.clip(w @ x, -30, 30))) - y[k]) * x
             s = (np.sqrt(n[i] + g * g) - np.sqrt(n[i])) / alpha

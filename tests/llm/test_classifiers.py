@@ -1,11 +1,14 @@
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lithos.llm.quality import score_quality
+from lithos.llm.quality import features, ftrl, score_quality
+from lithos.llm.textops import text_bytes
 from lithos.llm.toxicity import score_toxicity
 
 
@@ -101,3 +104,18 @@ def test_one_class_and_very_long_words(frame, spark, score, label):
     docs = frame([(1, "a b"), (2, "w" * 2_000_000 + " " + "v" * 2_000_000), (3, "the " * 700_000)])
     got = score(docs, spark.createDataFrame([(1, 1), (3, 1)], f"doc_id long, {label} int")).collect()
     assert len(got) == 3 and all(0 <= r.score <= 1 for r in got)
+
+
+def test_quality_rows_are_held_in_eight_bytes_a_feature():
+    """While a model is fitted, the driver holds features and counts of 32 bits, besides 16 MB for the weights."""
+    texts = [" ".join(f"{k}w{i}" for i in range(1000)) for k in range(1200)] + ["", " "]
+    idx, first = features(*text_bytes(pa.array(texts[:1])))
+    held = 1200 * len(np.unique(idx[:, first[0] : first[1]]))
+    tracemalloc.start()
+    try:
+        weights, _ = ftrl(texts, np.array([k % 2 for k in range(len(texts))], float), epochs=1)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert np.isfinite(weights).all()
+    assert peak < 10 * held + 16e6, (peak, held)
